@@ -1,0 +1,10 @@
+"""Files in the shared folder, opened from Python on any machine through pyarrow's file systems."""
+
+from __future__ import annotations
+
+
+def open_fs(uri: str):
+    """(file system, path) of a URI; Hadoop's s3a: is s3: here."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri("s3://" + uri[6:] if uri.startswith("s3a://") else uri)
