@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from spanloom.llm import sstable
+from spanloom.llm import langid, sstable
 
 
 def queries() -> dict:
     return {
         "op1_sstable": sstable.query,
+        "op10_langid": langid.query,
     }
 
 
