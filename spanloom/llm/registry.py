@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from spanloom.llm import langid, sstable
+from spanloom.llm import langid, sstable, url_reputation
 
 
 def queries() -> dict:
     return {
         "op1_sstable": sstable.query,
+        "op3_url_reputation": url_reputation.query,
         "op10_langid": langid.query,
     }
 
