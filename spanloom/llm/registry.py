@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from spanloom.llm import langid, sstable, url_reputation
+from spanloom.llm import cube_mix, langid, sstable, url_reputation
 
 
 def queries() -> dict:
     return {
         "op1_sstable": sstable.query,
         "op3_url_reputation": url_reputation.query,
+        "op5_cube_mix": cube_mix.query,
         "op10_langid": langid.query,
     }
 
