@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import cube_mix, langid, media, sstable, url_reputation
+from spanloom.llm import cube_mix, langid, media, pii, sstable, url_reputation
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_url_reputation": url_reputation.query,
         "op5_cube_mix": cube_mix.query,
         "op7_media": media.query,
+        "op2_pii": pii.query,
         "op10_langid": langid.query,
     }
 
