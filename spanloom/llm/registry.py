@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import cube_mix, langid, media, pii, sstable, url_reputation
+from spanloom.llm import cube_mix, langid, media, pii, secrets, sstable, url_reputation
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_cube_mix": cube_mix.query,
         "op7_media": media.query,
         "op2_pii": pii.query,
+        "op4_secrets": secrets.query,
         "op10_langid": langid.query,
     }
 
