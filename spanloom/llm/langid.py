@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LONGEST = 40
+#: Documents whose new words are scored together.
+GROUP = 1000
 START = "▁"
 FLOOR = 1e-7
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -175,30 +177,29 @@ def predict(docs: DataFrame, model: Model, most: int = 400_000) -> DataFrame:
         import pandas as pd
 
         model = shared.value
-        store = model.__dict__.setdefault("kept", ({}, np.zeros((most + 1, max(1, len(model.langs))), np.float32)))
-        kept, table = store
+        kept, table = model.__dict__.setdefault("kept", ({}, np.zeros((most, max(1, len(model.langs))), np.float32)))
         langs, scores = [], []
-        for text in texts:
-            words = words_of(text) if text else []
-            if not words or not model.langs:
-                langs.append("und")
-                scores.append(0.0)
-                continue
-            distinct = set(words)
-            new = [w for w in distinct if w not in kept]
+        for i in range(0, len(texts), GROUP):
+            texts_words = [words_of(t) if t and model.langs else [] for t in texts.iloc[i : i + GROUP]]
+            new = list({w for words in texts_words for w in words if w not in kept})
             if len(kept) + len(new) > most:
                 kept.clear()
-                new = list(distinct)
-            if len(new) > most:
-                total = sum(model.log_likelihoods(words[i : i + 10_000]).sum(0) for i in range(0, len(words), 10_000))
-            else:
-                if new:
-                    table[len(kept) : len(kept) + len(new)] = model.log_likelihoods(new)
-                    kept.update(zip(new, range(len(kept), len(kept) + len(new)), strict=True))
-                total = table[np.fromiter(map(kept.__getitem__, words), np.int64, len(words))].sum(0, dtype=np.float64)
-            best = int(total.argmax())
-            langs.append(model.langs[best])
-            scores.append(float(1 / np.exp(np.minimum(total - total[best], 0)).sum()))
+                new = list({w for words in texts_words for w in words})
+            if len(new) <= most and new:
+                table[len(kept) : len(kept) + len(new)] = model.log_likelihoods(new)
+                kept.update(zip(new, range(len(kept), len(kept) + len(new)), strict=True))
+            for words in texts_words:
+                if not words:
+                    langs.append("und")
+                    scores.append(0.0)
+                    continue
+                if len(new) <= most:
+                    total = table[np.fromiter(map(kept.__getitem__, words), np.int64, len(words))].sum(0, dtype=np.float64)
+                else:
+                    total = sum(model.log_likelihoods(words[j : j + 10_000]).sum(0) for j in range(0, len(words), 10_000))
+                best = int(total.argmax())
+                langs.append(model.langs[best])
+                scores.append(float(1 / np.exp(np.minimum(total - total[best], 0)).sum()))
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 
     plain = docs.drop("lang_pred", "score")
