@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import cube_mix, langid, media, pii, secrets, sstable, url_reputation
+from spanloom.llm import cube_mix, decontaminate, langid, media, pii, secrets, sstable, url_reputation
 
 
 def queries() -> dict:
@@ -13,9 +13,12 @@ def queries() -> dict:
         "op7_media": media.query,
         "op2_pii": pii.query,
         "op4_secrets": secrets.query,
+        "op6_winnowing": decontaminate.query,
         "op10_langid": langid.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_winnowing": decontaminate.ORACLE,
+    }
