@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import cube_mix, decontaminate, langid, media, pii, secrets, sstable, url_reputation
+from spanloom.llm import cube_mix, decontaminate, langid, media, near_dups, pii, secrets, sstable, url_reputation
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op2_pii": pii.query,
         "op4_secrets": secrets.query,
         "op6_winnowing": decontaminate.query,
+        "op8_order_minhash": near_dups.query,
         "op10_langid": langid.query,
     }
 
