@@ -214,54 +214,121 @@ class SSTable:
         return found
 
 
+class Recent(dict):
+    """A dict of bounded size: what was not asked for since the last half of the entries came in is forgotten."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.half, self.old = max(1, most // 2), {}
+
+    def recall(self, key):
+        found = self.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self[key] = found
+        return found
+
+    def tidy(self) -> None:
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+
+
 class UnitEncoder:
-    """Ids of whole texts as bytes, through the tokenizers library.
+    """Ids of whole texts through the tokenizers library.
 
-    A byte-level tokenizer with the usual splitting rule starts a new piece at each space that follows a non-space, so texts
-    cut there encode part by part; parts repeat, so their ids are kept, up to ``most`` of them. Other tokenizers encode whole texts.
+    The usual splitting rule of byte-level tokenizers starts a new piece at each space that follows a non-space, so texts cut there encode
+    part by part. The parts of a batch are numbered by Arrow, each distinct one is encoded once, and recent ones are remembered. A part of plain
+    Latin letters, digits and signs is cut again where letters begin or end and at single line ends, which are borders under that rule as well.
+    Texts with white space before a space, where the rule looks ahead, and texts for other tokenizers are encoded whole.
     """
 
-    def __init__(self, definition: str, most: int = 700_000):
+    LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+
+    def __init__(self, definition: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        pre = json.loads(definition).get("pre_tokenizer") or {}
         parts = json.loads(definition)
+        pre = parts.get("pre_tokenizer") or {}
         self.by_unit = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not parts.get("normalizer")
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.most, self.kept = most, {}
-        self.joined = re.compile(r"\s ").search
-        self.cut = re.compile(r"(?<=\S)(?= )").split
-
-    def units(self, text: str) -> list[str]:
-        """Parts of a text; a part but the first lacks its leading space, which the first has in the form of a mark."""
-        if self.joined(text):
-            first, *rest = self.cut(text)
-            return ["\0" + first, *(x[1:] for x in rest)]
-        first, *rest = text.split(" ")
-        return ["\0" + first, *rest]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.units, self.parts = Recent(most), Recent(most)
+        self.plain = re.compile(rf"[!-&(-~{self.LETTER[6:]}]+(?:\n[!-&(-~{self.LETTER[6:]}]+)*").fullmatch
+        self.cut = re.compile(rf"[{self.LETTER}]+|[^{self.LETTER}\n]+|\n").findall
+
+    def whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
-        def ids(parts: list[str]) -> list[bytes]:
-            return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, units: list[str]) -> list[bytes]:
+        """Ids of units; the first unit of a text is marked by a leading 0 character, others lack their leading space."""
+        cut = []
+        for u in units:
+            first, body = u[:1] == "\0", u[1:] if u[:1] == "\0" else u
+            if self.plain(body):
+                parts = self.cut(body)
+                if not first:
+                    parts[0] = " " + parts[0]
+            else:
+                parts = [body if first else " " + body] if body or not first else []
+            cut.append(parts)
+        here = dict.fromkeys(p for parts in cut for p in parts)
+        new = []
+        for p in here:
+            if (known := self.parts.recall(p)) is None:
+                new.append(p)
+            else:
+                here[p] = known
+        learned = dict(zip(new, self.whole(new), strict=True))
+        here.update(learned)
+        self.parts.update(learned)
+        self.parts.tidy()
+        return [here[parts[0]] if len(parts) == 1 else b"".join([here[p] for p in parts]) for parts in cut]
+
+    def encode(self, texts) -> list[bytes]:
+        """Ids of a string array's texts, as bytes."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
         if not self.by_unit:
-            return ids(texts)
-        out, kept = [], self.kept
-        for i in range(0, len(texts), 256):
-            split = [self.units(t) for t in texts[i : i + 256]]
-            new = list({u for units in split for u in units if u not in kept})
-            if len(kept) + len(new) > self.most:
-                kept.clear()
-                new = list({u for units in split for u in units})
-            kept.update(zip(new, ids([u[1:] if u[:1] == "\0" else " " + u for u in new])))
-            out += [b"".join([kept[u] for u in units]) for units in split]
+            return self.whole(texts.to_pylist())
+        out: list[bytes] = []
+        odd = pc.match_substring_regex(texts, r"[\s\x0b\x{85}\p{Z}\x1c-\x1f] ").to_pylist()
+        marked = pc.binary_join_element_wise(pa.scalar("\0"), texts, pa.scalar(""))
+        pieces = pc.split_pattern(marked, " ")
+        coded = pc.list_flatten(pieces).dictionary_encode()
+        units = coded.dictionary.to_pylist()
+        recent, old = self.units.get, self.units.old.get
+        ids = [recent(u) or old(u) for u in units]
+        missing = [i for i, x in enumerate(ids) if x is None]
+        self.units.update({u: x for u, x in zip(units, ids, strict=True) if x is not None} if self.units.old else {})
+        for i, x in zip(missing, self.learn([units[i] for i in missing]), strict=True):
+            ids[i] = x
+            self.units[units[i]] = x
+        self.units.tidy()
+        taken = pa.array(ids, pa.binary()).take(coded.indices)
+        ends = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1, taken.offset * 4)
+        data = taken.buffers()[2].to_pybytes() if taken.buffers()[2] else b""
+        bounds = ends[np.frombuffer(pieces.buffers()[1], np.int32, len(pieces) + 1, pieces.offset * 4)]
+        for i, is_odd in enumerate(odd):
+            out.append(self.whole([texts[i].as_py()])[0] if is_odd else data[bounds[i] : bounds[i + 1]])
         return out
 
 
+def kept_encoder(definition: str) -> UnitEncoder:
+    """The worker process's encoder for a tokenizer, with the parts that earlier tasks have met."""
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("spanloom_encoder", {})
+    if definition not in kept:
+        kept.clear()
+        kept[definition] = UnitEncoder(definition)
+    return kept[definition]
+
+
 def write_sstables(docs: DataFrame, folder: str, tokenizer_json: str, end_id: int = 2, block_bytes: int = 1 << 16) -> DataFrame:
     """Encode ``text`` of ``docs`` and write it to shards in ``folder`` by ascending ``doc_id``; returns the manifest, a row per shard.
 
@@ -286,14 +353,14 @@ def write_sstables(docs: DataFrame, folder: str, tokenizer_json: str, end_id: in
             if not batch.num_rows:
                 continue
             if writer is None:
-                encoder = UnitEncoder(definition.value)
+                encoder = kept_encoder(definition.value)
                 end = end_id.to_bytes(2 if encoder.dtype == "<u2" else 4, "little")
                 at = f"{folder}/{shard:06d}-{uuid.uuid4().hex}.sst"
                 fs, path = open_fs(at)
                 writer = SSTableWriter(fs.open_output_stream(path), len(end), end_id, block_bytes)
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
                     writer.add(pack_key(doc_id), ids + end)
         if writer is not None:
             writer.close()
