@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import cube_mix, decontaminate, langid, media, near_dups, pii, secrets, sstable, url_reputation
+from spanloom.llm import cube_mix, decontaminate, langid, media, near_dups, pii, secrets, sstable, substring_dedup, url_reputation
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op4_secrets": secrets.query,
         "op6_winnowing": decontaminate.query,
         "op8_order_minhash": near_dups.query,
+        "op9_fingerprint_index": substring_dedup.query,
         "op10_langid": langid.query,
     }
 
@@ -22,4 +23,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_winnowing": decontaminate.ORACLE,
+        "op9_fingerprint_index": substring_dedup.ORACLE,
     }
