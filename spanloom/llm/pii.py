@@ -60,7 +60,7 @@ def base_valid() -> Column:
 
 def features() -> dict[str, Column]:
     """Format and context features of a candidate, each a small integer."""
-    hit = F.substring(F.col("hit"), 1, 80)
+    hit = F.col("hit")
     n = F.length(digits_of(hit))
     seps = F.length(F.regexp_replace(hit, "[A-Za-z0-9]", ""))
     last, first = F.right(F.col("before"), F.lit(1)), F.left(F.coalesce("after", F.lit("")), F.lit(1))
