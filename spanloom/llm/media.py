@@ -15,7 +15,7 @@ import hashlib
 import struct
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Magic bytes of public formats, and how far behind the start of the medium they stand.
@@ -231,20 +231,26 @@ def samples(b: bytes) -> bytes:
     raise ValueError("no data chunk")
 
 
-@F.pandas_udf("binary")
-def to_wave(texts):
+def stored(text: str | None) -> bytes:
     """Text as UTF-8, padded with 0 to a positive multiple of ``BLOCK``, as the samples of a WAVE file."""
+    raw = (text or "").encode()
+    return wave(raw + b"\0" * ((-len(raw)) % BLOCK or (0 if raw else BLOCK)))
 
-    def stored(text):
-        raw = (text or "").encode()
-        return wave(raw + b"\0" * ((-len(raw)) % BLOCK or (0 if raw else BLOCK)))
 
-    return texts.map(stored)
+def to_wave(text: Column) -> Column:
+    """:func:`stored` of a string column."""
+    return F.pandas_udf(lambda texts: texts.map(stored), "binary", F.PandasUDFType.SCALAR)(text)
 
 
-@F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, mean long, crossings long, peak long")
-def wave_features(media):
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, mean long, crossings long, peak long"
+
+
+def wave_features(media: Column) -> Column:
     """What the stored bytes hold, read back from the file: sizes, digests, and the samples' mean, zero crossings and peak about 128."""
+    return F.pandas_udf(_features, FEATURES, F.PandasUDFType.SCALAR)(media)
+
+
+def _features(media):
     import numpy as np
     import pandas as pd
 
