@@ -7,7 +7,8 @@ ones; a span that the index or the batch has under a smaller id is a repeat as a
 than ``FAN_IN`` runs they are compacted into one.
 
 Spans that share a fingerprint but not their digest may still share windows. The windows of the first documents of such spans are verified one by one by a
-128-bit digest. All merges sort by fingerprint and stream, so a fingerprint that a third of all documents share costs its rows and no pairs.
+128-bit digest. All merges sort by fingerprint and stream, so a fingerprint that many documents share costs its rows and no pairs; equal spans of one
+document are one entry, and entries that a smaller id of the same task has already are known repeats: they don't go where their fingerprint goes.
 
 Rows: null text has no words; texts of fewer than ``WINDOW`` words lose none; repeats within one document or one doc_id stay, since no smaller id has them; null
 ids count as larger than all others and equal to each other; repeated rows get equal results; an empty table gives no row; only doc_id and text are read.
@@ -21,6 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanloom.llm.worker import tidy
 from spanloom.staging import staged
 
 WINDOW, GRAM = 50, 8
@@ -46,7 +48,7 @@ FROM d LEFT JOIN g USING (rid)
 class Words(dict):
     """Word to a 64-bit hash, for up to about ``most`` words."""
 
-    most = 500_000
+    most = 250_000
 
     def __missing__(self, word):
         import xxhash
@@ -78,12 +80,11 @@ class Rolling:
         return mix((self.sums[ends] - self.sums[starts]) * self.back[starts])
 
 
-def spans_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(fingerprint, digest, first window, last window) of a document's spans."""
+def spans_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprint, digest, windows, places, first windows) of a document's different spans: entry i stands at the next ``places[i]`` first windows."""
     n = len(hashes)
     if n < WINDOW:
-        empty = np.zeros(0, np.int64)
-        return empty, empty, empty, empty
+        return (np.zeros(0, np.int64),) * 5
     starts = np.arange(n - GRAM + 1)
     grams = Rolling(hashes, 0).of(starts, starts + GRAM)
     width = WINDOW - GRAM + 1
@@ -94,8 +95,12 @@ def spans_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         least[i : i + len(part)] = i + np.arange(len(part)) + width - 1 - part
     first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
     last = np.r_[first[1:], len(least)] - 1
-    digest = Rolling(hashes, 1).of(first, last + WINDOW)
-    return grams[least[first]].view(np.int64), digest.view(np.int64), first, last
+    prints = grams[least[first]].view(np.int64)
+    digest = Rolling(hashes, 1).of(first, last + WINDOW).view(np.int64)
+    order = np.lexsort((first, digest, prints))
+    prints, digest, first, last = prints[order], digest[order], first[order], last[order]
+    new = np.flatnonzero(np.r_[True, (prints[1:] != prints[:-1]) | (digest[1:] != digest[:-1])])
+    return prints[new], digest[new], (last - first + 1)[new], np.diff(np.r_[new, len(first)]), first
 
 
 def row_key(docs: DataFrame) -> DataFrame:
@@ -110,7 +115,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         memo = Words()
-        spans = pa.struct({"print": pa.int64(), "digest": pa.int64(), "lo": pa.int32(), "hi": pa.int32()})
         for batch in batches:
             counts, shas, columns, bounds = [], [], [], [0]
             for text in batch.column(3).to_pylist():
@@ -119,15 +123,31 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 columns.append(spans_of(memo.of(words)))
                 bounds.append(bounds[-1] + len(columns[-1][0]))
-            flat = [np.concatenate(c) for c in zip(*columns, strict=True)]
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            values = pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(flat, types, strict=True)], fields=list(spans))
+            prints, digests, windows, places, first = (np.concatenate(c) for c in zip(*columns, strict=True))
+            at = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(places)], pa.int32()), pa.array(first, pa.int32()))
+            values = pa.StructArray.from_arrays([pa.array(prints, pa.int64()), pa.array(digests, pa.int64()), pa.array(windows, pa.int32()), at], names=["print", "digest", "windows", "at"])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(counts, pa.int64()), pa.array(shas), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)], names=["row_id", "row_hash", "doc_id", "n_words", "whole_sha256", "spans"])
 
-    return row_key(docs).mapInArrow(work, "row_id long, row_hash long, doc_id long, n_words long, whole_sha256 string, spans array<struct<print:long,digest:long,lo:int,hi:int>>")
+    return row_key(docs).mapInArrow(tidy(work), "row_id long, row_hash long, doc_id long, n_words long, whole_sha256 string, spans array<struct<print:long,digest:long,windows:int,at:array<int>>>")
 
 
-ENTRY = "print long, digest long, row_id long, row_hash long, lo int, hi int"
+ENTRY = "print long, digest long, row_id long, row_hash long, windows int, at array<int>"
+
+
+def known_repeats(batches):
+    """Sorted entries with ``sure``: whether an entry before it in the task has the same span under a smaller id."""
+    import pyarrow as pa
+
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        p, d, r = (batch.column(i).to_numpy() for i in range(3))
+        start = np.r_[last is None or (p[0], d[0]) != last[:2], (p[1:] != p[:-1]) | (d[1:] != d[:-1])]
+        begun = np.maximum.accumulate(np.where(start, np.arange(len(p)), -1))
+        first = np.where(begun < 0, last[2] if last else 0, r[np.maximum(begun, 0)])
+        last = (p[-1], d[-1], first[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r > first)], names=[*batch.schema.names, "sure"])
 
 
 class FingerprintIndex:
@@ -152,15 +172,15 @@ class FingerprintIndex:
         def merge(batches):
             import pyarrow as pa
 
-            def out(rows):
-                columns = list(zip(*rows, strict=True))
-                return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-            schema = pa.schema([("print", pa.int64()), ("digest", pa.int64()), ("row_id", pa.int64()), ("row_hash", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("kind", pa.int32())])
+            schema = pa.schema([("print", pa.int64()), ("digest", pa.int64()), ("row_id", pa.int64()), ("row_hash", pa.int64()), ("windows", pa.int32()), ("at", pa.list_(pa.int32())), ("kind", pa.int32())])
             current, digest, first, held, several = None, None, None, [], False
             for b in batches:
                 rows = []
-                for p, d, row_id, row_hash, lo, hi, old in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for sure, old, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    p, d, row_id = row[:3]
+                    if sure:
+                        rows.append((*row, 0))
+                        continue
                     if p != current:
                         current, digest, held, several = p, None, [], False
                     if d != digest:
@@ -168,26 +188,30 @@ class FingerprintIndex:
                             several = True
                             rows += held
                             held = []
-                        digest, first, fresh = d, row_id, not old
-                        if fresh:
-                            rows.append((p, d, row_id, row_hash, lo, hi, 2))
+                        digest, first = d, row_id
+                        if not old:
+                            rows.append((*row, 2))
                     if row_id > first:
-                        rows.append((p, d, row_id, row_hash, lo, hi, 0))
+                        rows.append((*row, 0))
                     elif several:
-                        rows.append((p, d, row_id, row_hash, lo, hi, 1))
+                        rows.append((*row, 1))
                     else:
-                        held.append((p, d, row_id, row_hash, lo, hi, 1))
+                        held.append((*row, 1))
                 if rows:
-                    yield out(rows)
-
-        order = ["print", "digest", "row_id", F.col("old").desc(), "row_hash", "lo"]
-        rows = self.entries().withColumn("old", F.lit(True)).unionByName(batch.withColumn("old", F.lit(False)))
-        merged = rows.repartition("print").sortWithinPartitions(*order).mapInArrow(merge, ENTRY + ", kind int")
-        merged = staged(merged, "index-merge")
+                    columns = list(zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+        names = ["print", "digest", "row_id", "row_hash", "windows", "at"]
+        local = batch.sortWithinPartitions("print", "digest", "row_id").mapInArrow(known_repeats, ENTRY + ", sure boolean")
+        rows = self.entries().select(F.lit(False).alias("sure"), F.lit(True).alias("old"), *names).unionByName(local.select("sure", F.lit(False).alias("old"), *names))
+        dealt = rows.repartition(F.when(F.col("sure"), F.col("row_hash")).otherwise(F.col("print")))
+        order = ["sure", "print", "digest", "row_id", F.col("old").desc(), "row_hash"]
+        merged = staged(dealt.sortWithinPartitions(*order).mapInArrow(tidy(merge), ENTRY + ", kind int"), "index-merge")
         self.runs.append(merged.where("kind = 2").drop("kind"))
         if len(self.runs) > FAN_IN:
             self.compact()
-        return merged.where("kind < 2").select("row_id", "row_hash", "lo", "hi", (F.col("kind") == 0).alias("repeat"))
+        marks = merged.where("kind < 2").select("row_id", "row_hash", "windows", F.explode("at").alias("lo"), (F.col("kind") == 0).alias("repeat"))
+        return marks.select("row_id", "row_hash", "lo", (F.col("lo") + F.col("windows") - 1).alias("hi"), "repeat")
 
     def compact(self) -> None:
         """Rewrite all runs as one, in order."""
@@ -214,7 +238,7 @@ def window_digests(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     ranges = spans.groupBy("row_id", "row_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     joined = row_key(docs).select("row_id", "row_hash", "text").join(ranges, ["row_id", "row_hash"])
-    return joined.select("row_id", "row_hash", "text", "ranges").mapInArrow(work, "row_id long, row_hash long, at int, w1 long, w2 long")
+    return joined.select("row_id", "row_hash", "text", "ranges").mapInArrow(tidy(work), "row_id long, row_hash long, at int, w1 long, w2 long")
 
 
 def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -239,7 +263,7 @@ def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     ranges = spans.groupBy("row_id", "row_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     joined = row_key(docs).select("row_id", "row_hash", "text").join(ranges, ["row_id", "row_hash"])
-    return joined.select("row_id", "row_hash", "text", "ranges").mapInArrow(work, "row_id long, row_hash long, text string, n_removed long, kept_sha256 string")
+    return joined.select("row_id", "row_hash", "text", "ranges").mapInArrow(tidy(work), "row_id long, row_hash long, text string, n_removed long, kept_sha256 string")
 
 
 def repeats(docs: DataFrame, batches: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -251,7 +275,7 @@ def repeats(docs: DataFrame, batches: int = 2) -> tuple[DataFrame, DataFrame]:
     for low, high in zip([None, *edges], [*edges, None], strict=True):
         part = table if low is None else table.where(F.col("row_id") > low)
         part = part if high is None else part.where(F.col("row_id") <= high)
-        marked = index.add(part.select("row_id", "row_hash", F.inline("spans")).select("print", "digest", "row_id", "row_hash", "lo", "hi"))
+        marked = index.add(part.select("row_id", "row_hash", F.inline("spans")).select("print", "digest", "row_id", "row_hash", "windows", "at"))
         marks = marked if marks is None else marks.unionByName(marked)
     single = window_digests(docs, marks.where("not repeat"))
     first = F.min("row_id").over(Window.partitionBy("w1", "w2"))
