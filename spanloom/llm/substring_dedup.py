@@ -270,7 +270,8 @@ def repeats(docs: DataFrame, batches: int = 2) -> tuple[DataFrame, DataFrame]:
     """(documents, spans): the table of :func:`fingerprints`, and (row_id, row_hash, lo, hi) of all runs of windows that a smaller id has."""
     table = staged(fingerprints(docs), "fingerprints")
     index = FingerprintIndex(docs.sparkSession)
-    edges = [int(x) for x in table.approxQuantile("row_id", [i / batches for i in range(1, batches)], 0.01)] if batches > 1 else []
+    places = table.approxQuantile("row_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
+    edges = sorted({min(int(x), LAST_ID - 1) for x in places})
     marks = None
     for low, high in zip([None, *edges], [*edges, None], strict=True):
         part = table if low is None else table.where(F.col("row_id") > low)
