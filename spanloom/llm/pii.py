@@ -87,7 +87,7 @@ def failed_check() -> Column:
     digits = digits_of(F.col("hit"))
     n = F.length(digits)
     return (
-        ((F.col("kind") == 4) & (F.col("hit").rlike("^[0-9](?:[ -]?[0-9])+$") & n.between(13, 19) & ~luhn(F.substring(digits, 1, 19)) | (n > 19)))
+        ((F.col("kind") == 4) & (F.col("hit").rlike("^[0-9](?:[ -]?[0-9])++$") & n.between(13, 19) & ~luhn(F.substring(digits, 1, 19)) | (n > 19)))
         | ((F.col("kind") == 4) & F.col("hit").rlike(r"^[0-9]+(?:\.[0-9]+){3}$") & ~F.col("hit").rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$"))
         | ((F.col("kind") == 5) & ~F.col("hit").rlike("[@(\\[]"))
     )
