@@ -22,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_url_reputation": url_reputation.ORACLE,
         "op6_winnowing": decontaminate.ORACLE,
         "op9_fingerprint_index": substring_dedup.ORACLE,
     }

@@ -21,6 +21,40 @@ RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block",
 #: Bounds of a prior's strength, in labelled pages.
 WEAKEST, STRONGEST = 1.0, 10_000.0
 
+ORACLE = r"""
+WITH p AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), u AS (
+  SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p
+), b AS (
+  SELECT doc_id, max(CAST(toxic = 1 OR quality = 0 AS INT)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), o AS (
+  SELECT host, bad FROM (SELECT host, regexp_extract(path, '/([0-9]{1,18})(?:\.html)?/?$', 1) AS no FROM u) JOIN b ON no <> '' AND CAST(nullif(no, '') AS BIGINT) = doc_id WHERE bad IS NOT NULL
+), parts AS (
+  SELECT host, CASE WHEN array_to_string(a[-2:], '.') IN ('ac.uk', 'co.jp', 'co.uk', 'com.au', 'com.br', 'gov.uk', 'org.uk') THEN 1 ELSE 0 END AS x, a FROM (SELECT DISTINCT host, string_split(host, '.') AS a FROM u)
+), named AS (
+  SELECT host, array_to_string(CASE WHEN x = 1 THEN a[-3:] ELSE a[-2:] END, '.') AS domain, array_to_string(CASE WHEN x = 1 THEN a[-2:] ELSE a[-1:] END, '.') AS suffix FROM parts
+), h AS (SELECT host, domain, suffix, count(*) AS n, sum(bad)::DOUBLE AS bad FROM o JOIN named USING (host) GROUP BY ALL),
+d AS (SELECT domain, suffix, sum(n)::DOUBLE AS n, sum(bad) AS bad FROM h GROUP BY ALL), s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
+levels AS (SELECT 'h' AS level, n::DOUBLE AS n, bad FROM h UNION ALL SELECT 'd', n, bad FROM d UNION ALL SELECT 's', n, bad FROM s),
+moments AS (SELECT level, count(*) AS m, sum(n) AS n, sum(bad) / sum(n) AS r, sum(n * n) AS nn, sum(bad * bad / n) AS bb FROM levels GROUP BY level),
+spreads AS (SELECT *, r * (1 - r) AS noise, bb / n - r * r - r * (1 - r) * (m - 1) / n AS spread, 1 - nn / (n * n) AS room FROM moments),
+strengths AS (SELECT level, CASE WHEN m < 2 OR noise <= 0 OR spread <= 0 OR room <= 0 THEN 10000.0 ELSE least(10000.0, greatest(1.0, noise * room / spread - 1)) END AS k FROM spreads),
+ks AS (SELECT coalesce(max(k) FILTER (level = 'h'), 10000.0) AS kh, coalesce(max(k) FILTER (level = 'd'), 10000.0) AS kd, coalesce(max(k) FILTER (level = 's'), 10000.0) AS ks FROM strengths),
+root AS (SELECT CASE WHEN count(*) > 0 THEN (sum(bad) + 1) / (count(*) + 2) ELSE 0 END AS r0 FROM o),
+s1 AS (SELECT suffix, (bad + r0 * ks) / (n + ks) AS r, n + ks AS size FROM s, ks, root),
+d1 AS (SELECT domain, (d.bad + s1.r * kd) / (d.n + kd) AS r, d.n + kd AS size FROM d JOIN s1 USING (suffix), ks),
+h1 AS (SELECT host, (h.bad + d1.r * kh) / (h.n + kh) AS r, h.n + kh AS size FROM h JOIN d1 USING (domain), ks),
+judged AS (
+  SELECT host, coalesce(h1.r, d1.r, s1.r, r0) AS r, CASE WHEN h1.r IS NOT NULL THEN h1.size WHEN d1.r IS NOT NULL THEN d1.size WHEN s1.r IS NOT NULL THEN s1.size ELSE ks END AS size
+  FROM named LEFT JOIN h1 USING (host) LEFT JOIN d1 USING (domain) LEFT JOIN s1 USING (suffix), ks, root
+), rules(action, rh, rp) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'example.net', '/de/8'), ('allow', 'net', '/de/'), ('block', 'org', '/es/')),
+fit AS (
+  SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(action, length(rh || rp)) AS action FROM u JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id
+)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN r - 1.645 * sqrt(r * (1 - r) / (size + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM u JOIN judged USING (host) LEFT JOIN fit USING (page_id)
+"""
+
 
 def host_of(url: Column) -> Column:
     rest = F.substring_index(url, "://", 1)
