@@ -24,9 +24,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.llm.worker import give_back
+
 LONGEST = 40
 #: Documents whose new words are scored together.
-GROUP = 1000
+GROUP = 500
 START = "▁"
 FLOOR = 1e-7
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -168,12 +170,11 @@ def fit(docs: DataFrame, per_lang: int = 150, max_chars: int = 20_000, vocabular
     return fit_counts({g: c for g, c in counts.items() if c}, pieces)
 
 
-def predict(docs: DataFrame, model: Model, most: int = 400_000) -> DataFrame:
+def predict(docs: DataFrame, model: Model, most: int = 250_000) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``. Workers keep the likelihoods of up to ``most`` words."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def judge(texts):
+    def judged(texts):
         import pandas as pd
 
         model = shared.value
@@ -202,6 +203,11 @@ def predict(docs: DataFrame, model: Model, most: int = 400_000) -> DataFrame:
                 scores.append(float(1 / np.exp(np.minimum(total - total[best], 0)).sum()))
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 
+    def judge(batches):
+        yield from map(judged, batches)
+        give_back()
+
+    judge = F.pandas_udf(judge, "lang_pred string, score double", F.PandasUDFType.SCALAR_ITER)
     plain = docs.drop("lang_pred", "score")
     return plain.withColumn("lang_guess__", judge(F.col("text"))).select(*plain.columns, F.col("lang_guess__.lang_pred"), F.col("lang_guess__.score"))
 

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.shared_fs import open_fs
+from spanloom.llm.worker import tidy
 from spanloom.staging import new_path
 
 MAGIC = b"SPLSST01"
@@ -369,7 +370,7 @@ def write_sstables(docs: DataFrame, folder: str, tokenizer_json: str, end_id: in
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     tie = F.xxhash64("text")
     ranged = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
-    ranged.mapInArrow(shards, MANIFEST).write.parquet(f"{folder}/manifest")
+    ranged.mapInArrow(tidy(shards), MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -406,7 +407,7 @@ def read_sstables(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    return placed.repartitionByRange(max(1, manifest.count()), "shard").mapInArrow(documents, ENCODED)
+    return placed.repartitionByRange(max(1, manifest.count()), "shard").mapInArrow(tidy(documents), ENCODED)
 
 
 def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
