@@ -176,9 +176,8 @@ def job_latest_status(spark, sf_dir):
 
 def job_live(spark, sf_dir):
     log = job_log(spark, sf_dir)
-    end = log.agg(F.max("ts").alias("now"))
-    rows = state.job_status(log).join(F.broadcast(end))
-    return rows.where(F.col("ts") > F.col("now") - F.expr("interval 60 minutes")).select("job_id", "seq", "status")
+    now = log.agg(F.max("ts")).first()[0]
+    return state.fresh(state.job_status(log), "ts", F.lit(now), state.JOB_TTL_S).select("job_id", "seq", "status")
 
 
 def retention_topk(spark, sf_dir):
