@@ -7,8 +7,8 @@ sizes and on their number: the flight phase moves the probabilities of three doc
 constraints until one of them is 0 or 1. Chunks of a source fly apart from each other, one pass of a stream each; at most two open documents of
 each chunk go on to a second flight over all chunks of the source. About ``LANDING`` documents of each source, drawn by hash, are kept out of the
 flight: the landing problem is to round them and the two that stay open so that the words come nearest to the target. Documents with over
-1 / ``GIANT`` of their source's words, fewer than ``GIANT`` by that rule, would stay open to the end, so they fly and land first, and the others'
-probabilities are shifted by what that rounding adds or lacks.
+1 / ``GIANT`` of their source's words, fewer than ``GIANT`` by that rule, would stay open to the end, so they are rounded first, the largest first, and the
+others' probabilities are shifted by what that adds or lacks.
 
 Draws come from hashes of the rows, and chunks from hashes of the ids, so reruns agree whatever the layout.
 
@@ -28,7 +28,7 @@ from spanloom.staging import staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
-CHUNK_ROWS = 50_000
+CHUNK_ROWS = 4096
 LANDING = 12
 GIANT = 500
 
@@ -86,6 +86,16 @@ class Flight:
             u = (u * 1103515245.0 + 0.12345) % 1.0
         return done
 
+    @staticmethod
+    def land_largest_first(units: list[list]) -> list[tuple]:
+        """Round few large units one by one, the largest first, each so that the words so far come nearest to what the probabilities promise."""
+        off, out = 0.0, []
+        for p, size, tag in sorted(units, key=lambda u: (-u[1], u[2]["h"])):
+            x = 1 if p >= 1 or p > 0 and abs(off + (1 - p) * size) < abs(off - p * size) else 0
+            off += (x - p) * size
+            out.append((tag, x))
+        return out
+
     def land(self, held: list[list]) -> list[tuple]:
         """Round what is open or held so that the words taken come nearest to what the probabilities promise, and the documents within one."""
         import numpy as np
@@ -98,13 +108,20 @@ class Flight:
         return [(u[2], int(x)) for u, x in zip(units, best, strict=True)]
 
 
-def fly(batches, keys: list[str], last: bool):
-    """Runs of equal ``keys`` in sorted Arrow batches fly one by one; ``picked`` is 0, 1 or, before the last round, null for the open and kept ones."""
+def fly(batches, keys: list[str], last: bool, giants: bool = False):
+    """Runs of equal ``keys`` in sorted Arrow batches fly one by one; ``picked`` is 0, 1 or, before the last round, null for the open and kept ones.
+
+    ``giants``, of which a source has fewer than ``GIANT``, only land.
+    """
     import pyarrow as pa
 
     flight, held, current, schema = Flight(), [], None, None
 
     def close(flight, held):
+        if giants:
+            rows = [{**tag, "picked": x} for tag, x in Flight.land_largest_first(held)]
+            held.clear()
+            return rows
         rows = [{**tag, "picked": x} for tag, x in flight.land(held)] if last else [{**tag, "p": float(p), "picked": None} for p, _, tag in flight.open]
         flight.open.clear()
         held.clear()
@@ -118,6 +135,9 @@ def fly(batches, keys: list[str], last: bool):
             if key != current:
                 out += close(flight, held)
                 current = key
+            if giants:
+                held.append([row["p"], row["size"], row])
+                continue
             if row["kept"] and not last:
                 out.append({**row, "picked": None})
                 continue
@@ -156,11 +176,11 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float =
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", picked int"
     order = ["kept", F.col("size").desc(), "h", "doc_id", "text_hash"]
 
-    def by_source(rows: DataFrame) -> DataFrame:
+    def by_source(rows: DataFrame, giants: bool) -> DataFrame:
         dealt = rows.repartition("source").sortWithinPartitions("source", *order)
-        return dealt.mapInArrow(lambda b: fly(b, ["source"], True), schema)
+        return dealt.mapInArrow(lambda b: fly(b, ["source"], True, giants), schema)
 
-    giants = staged(by_source(rows.where("giant")), "mix-giants")
+    giants = staged(by_source(rows.where("giant"), True), "mix-giants")
     over = giants.groupBy("source").agg(F.sum(F.col("size") * (F.col("picked") - F.col("p"))).alias("over"), F.sum("size").alias("giant_size"))
     small = rows.where("not giant").alias("a").join(over.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left")
     shift = F.coalesce(F.col("over") / F.greatest(F.col("source_size") - F.col("giant_size"), F.lit(1)), F.lit(0.0))
@@ -169,7 +189,7 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float =
     parts = max(math.ceil(sizes.count() / CHUNK_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = small.repartition(parts, "source", "chunk").sortWithinPartitions("source", "chunk", *order)
     first = staged(dealt.mapInArrow(lambda b: fly(b, ["source", "chunk"], False), schema), "mix-flight")
-    second = by_source(first.where(F.col("picked").isNull()).drop("picked"))
+    second = by_source(first.where(F.col("picked").isNull()).drop("picked"), False)
     settled = giants.unionByName(first.where(F.col("picked").isNotNull())).unionByName(second)
     copies = F.col("whole") + F.col("picked")
     return settled.select("doc_id", "source", "text_hash", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
