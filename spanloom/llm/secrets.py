@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import spans
+from spanloom.llm.decontaminate import held
 from spanloom.staging import staged
 
 KINDS = ["assign", "access", "hex", "token"]
@@ -48,40 +49,51 @@ def normal_tail(z: Column) -> Column:
     return 1 / (1 + F.exp(F.least(F.lit(700.0), F.greatest(F.lit(-700.0), 1.5976 * z + 0.070566 * z * z * z))))
 
 
-def p_values(token: Column) -> tuple[Column, Column, Column]:
-    """p-values of the three tests on a candidate, under the alphabet of its encoding."""
-    plain = F.translate(F.rtrim(F.translate(token, "=", " ")), "-_", "+/")
-    found: list[tuple[Column, tuple[Column, Column, Column]]] = []
-    n = F.length(plain).cast("double")
-    for _, pattern, alphabet in ENCODINGS:
-        k = len(alphabet)
-        squares = F.aggregate(F.split(F.lit(alphabet), ""), F.lit(0.0), lambda total, c: total + F.when(c == "", 0.0).otherwise(F.pow((F.length(plain) - F.length(F.replace(plain, c, F.lit("")))).cast("double"), F.lit(2.0))))
-        chi2 = squares * k / n - n
-        cube = 2.0 / (9 * (k - 1))
-        chi_p = normal_tail((F.pow(F.greatest(chi2, F.lit(0.0)) / (k - 1), F.lit(1 / 3)) - (1 - cube)) / cube**0.5)
-        half = k // 2
+def symbols(token: Column) -> Column:
+    """A token without padding, in the standard base 64 alphabet."""
+    return F.translate(F.rtrim(F.translate(token, "=", " ")), "-_", "+/")
+
+
+def measures(plain: Column) -> Column:
+    """struct(k, squares, ones, runs, sums) of a token under the alphabet of k symbols of its encoding; ``plain`` must be a plain column.
+
+    squares: of the symbols' counts; ones: symbols of the alphabet's upper half; runs: of equal halves; sums: of positions in the alphabet, their squares
+    and their products with the next.
+    """
+    found = None
+    for _, pattern, alphabet in reversed(ENCODINGS):
+        k, half = len(alphabet), len(alphabet) // 2
+        squares = F.aggregate(F.array(*map(F.lit, alphabet)), F.lit(0.0), lambda total, c: total + F.pow((F.length(plain) - F.length(F.replace(plain, c, F.lit("")))).cast("double"), F.lit(2.0)))
         bits = F.translate(plain, alphabet, "0" * half + "1" * (k - half))
-        ones = F.length(F.replace(bits, F.lit("0"), F.lit(""))).cast("double")
-        zeros = n - ones
-        runs = F.regexp_count(bits, F.lit("0+|1+")).cast("double")
-        mean = 2 * ones * zeros / n + 1
-        var = (mean - 1) * (mean - 2) / (n - 1)
-        runs_p = F.when(var <= 0, 0.0).otherwise(2 * normal_tail(F.abs(runs - mean) / F.sqrt(F.greatest(var, F.lit(1e-9)))))
         codes = F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: (F.instr(F.lit(alphabet), c) - 1).cast("double"))
         start = F.struct(F.lit(None).cast("double").alias("last"), *[F.lit(0.0).alias(x) for x in ("x", "xx", "xy")])
         sums = F.aggregate(codes, start, lambda a, x: F.struct(x.alias("last"), (a["x"] + x).alias("x"), (a["xx"] + x * x).alias("xx"), (a["xy"] + F.coalesce(a["last"] * x, F.lit(0.0))).alias("xy")))
-        spread = sums["xx"] - sums["x"] * sums["x"] / n
-        serial = F.when(spread <= 0, 1.0).otherwise((sums["xy"] - sums["x"] * sums["x"] / n) / F.greatest(spread, F.lit(1e-9)))
-        serial_p = 2 * normal_tail(F.abs(serial) * F.sqrt(n))
-        found.append((plain.rlike(pattern) if pattern else F.lit(True), (chi_p, runs_p, serial_p)))
+        m = F.struct(F.lit(k).alias("k"), squares.alias("squares"), F.length(F.replace(bits, F.lit("0"), F.lit(""))).cast("double").alias("ones"), F.regexp_count(bits, F.lit("0+|1+")).cast("double").alias("runs"), sums.alias("sums"))
+        found = m if found is None else F.when(plain.rlike(pattern), m).otherwise(found)
+    return found
+
+
+def p_values(m: Column, n: Column) -> tuple[Column, Column, Column]:
+    """p-values of the three tests from :func:`measures` of n symbols."""
+    k = m["k"].cast("double")
+    chi2, cube = m["squares"] * k / n - n, 2.0 / (9 * (k - 1))
+    chi_p = normal_tail((F.pow(F.greatest(chi2, F.lit(0.0)) / (k - 1), F.lit(1 / 3)) - (1 - cube)) / F.sqrt(cube))
+    mean = 2 * m["ones"] * (n - m["ones"]) / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    runs_p = F.when(var <= 0, 0.0).otherwise(2 * normal_tail(F.abs(m["runs"] - mean) / F.sqrt(F.greatest(var, F.lit(1e-9)))))
+    x, xx, xy = (m["sums"][name] for name in ("x", "xx", "xy"))
+    spread = xx - x * x / n
+    serial = F.when(spread <= 0, 1.0).otherwise((xy - x * x / n) / F.greatest(spread, F.lit(1e-9)))
+    serial_p = 2 * normal_tail(F.abs(serial) * F.sqrt(n))
+    return tuple(F.least(F.lit(1.0), p) for p in (chi_p, runs_p, serial_p))
 
-    def pick(i: int) -> Column:
-        c = found[-1][1][i]
-        for fits, p in reversed(found[:-1]):
-            c = F.when(fits, p[i]).otherwise(c)
-        return F.least(F.lit(1.0), c)
 
-    return pick(0), pick(1), pick(2)
+def tested(rows: DataFrame, token: Column) -> DataFrame:
+    """``rows`` with p1, p2 and p3 of ``token``, null where that is. Each step is held in a column, so that none is computed twice."""
+    rows = rows.select("*", held(F.when(token.isNotNull(), symbols(token))).alias("plain"))
+    rows = rows.select("*", held(F.when(F.col("plain").isNotNull(), measures(F.col("plain")))).alias("m"))
+    ps = p_values(F.col("m"), F.length("plain").cast("double"))
+    return rows.withColumns({f"p{i + 1}": F.when(F.col("m").isNotNull(), p) for i, p in enumerate(ps)}).drop("plain", "m")
 
 
 def fisher(ps: tuple[Column, ...]) -> Column:
@@ -122,8 +134,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("base", F.coalesce(base, F.lit(False))).withColumn("keep", F.col("hit").isNotNull() & (F.col("base") | (F.col("kind") == 3)))
     rows = rows.where(F.col("keep") | F.col("hit").isNull() & (F.col("kind") == 0))
     token = F.col("keep") & (F.col("kind") == 3)
-    p = F.when(token, fisher(p_values(F.col("hit"))))
-    rows = rows.withColumns({"bin": F.when(token, score_bin(p)), "stratum": F.when(token, stratum(F.length("hit"))), "decoy": F.when(token, F.col("hit").rlike("^[A-Z]?[a-z]+$|^[A-Z]+$"))})
+    rows = tested(rows, F.when(token, F.col("hit")))
+    score = fisher((F.col("p1"), F.col("p2"), F.col("p3")))
+    rows = rows.withColumns({"bin": F.when(token, score_bin(score)), "stratum": F.when(token, stratum(F.length("hit"))), "decoy": F.when(token, F.col("hit").rlike("^[A-Z]?[a-z]+$|^[A-Z]+$"))})
     return rows.select("rid", "doc_id", F.when(F.col("keep"), F.col("kind")).alias("kind"), "start", "end", "base", "bin", "stratum", "decoy")
 
 
