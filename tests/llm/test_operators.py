@@ -379,6 +379,19 @@ def test_copies_of_one_text_and_a_chain(spark):
     assert {got[i] for i in range(60)} == {0} and {got[i] for i in range(60, 68)} == {60}
 
 
+@pytest.mark.parametrize("seed", [8, 18])
+def test_nodes_that_fail_their_only_pivot_meet(spark, seed):
+    """In all buckets that 1 and 2 share, 0 is the pivot, far from both; nothing is linked in the first round."""
+    rng = random.Random(seed)
+    base = prose(rng, 150)
+    u, v, p = (f"{base} {prose(rng, n)}" for n in (18, 17, 24))
+    memo = near_dups.WordHashes()
+    keys = [set(near_dups.order_sketch(near_dups.labelled(near_dups.kmers(memo.of(t))))) for t in (p, u, v)]
+    assert keys[1] & keys[2] and keys[1] & keys[2] <= keys[0]
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.classes(frame(spark, list(enumerate([p, u, v])))).collect()}
+    assert got == {0: 0, 1: 1, 2: 1}
+
+
 def test_alignment():
     rng = random.Random(2)
     for _ in range(200):
