@@ -4,7 +4,8 @@ Base kinds are patterns with a check (octets, digits, the Luhn sum); all of thei
 further spans that may overlap them: runs of seven or more digits with separators, and names around an "at" sign or word. Each candidate gets
 binned features of its format (digits, separators, grouping) and of its context (characters and words beside it). Boosted trees learn from all
 candidates that the checks decide, counted by feature cell: those that a base span covers are positive, those that have the size of a base kind and
-fail its check are negative. Half of the cells grow the trees, half calibrate them and set the threshold for ``precision``; candidates of
+fail its check are negative, and so are names around an "at" in plain words with a blank beside a dot, which no host name has. Other written-out
+addresses are undecided, and the trees judge them. Half of the cells grow the trees, half calibrate them and set the threshold for ``precision``; candidates of
 neither kind above it are added. Without both classes nothing is added.
 
 Rows: null text has no span; repeated rows and ids are separate documents; an empty table gives no row; only doc_id and text are read.
@@ -31,9 +32,11 @@ PATTERNS = {
     4: r"(?<![0-9A-Za-z])(?<![0-9][ ().-])[0-9](?:[ ().-]{0,2}[0-9]){6,}+",
     5: rf"(?<!{LOCAL}){LOCAL}{{1,64}}+ ?(?:@|\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{{1,64}}+(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{{2,64}}+){{1,8}}+",
 }
+#: A dot with a blank beside it, as between sentences.
+GAP = r" \.|\. "
 OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 KEYWORDS = r"(?i)(?:phone|mobile|call|fax|tel|contact|card|visa|account|acct|iban|ssn|mail|host|address)[^A-Za-z0-9]{0,4}$"
-FEATURES = ["f_digits", "f_seps", "f_dots", "f_groups", "f_plus", "f_letters", "f_word", "f_before", "f_after"]
+FEATURES = ["f_gap", "f_digits", "f_seps", "f_dots", "f_groups", "f_plus", "f_letters", "f_word", "f_before", "f_after"]
 
 
 def digits_of(text: Column) -> Column:
@@ -70,6 +73,7 @@ def features() -> dict[str, Column]:
 
     groups = F.when(hit.rlike(r"^[0-9]+$"), 0).when(hit.rlike(r"^[0-9]{4}(?:[ -][0-9]{4}){3}$"), 1).when(hit.rlike(r"[0-9]{3}[ )./-]+[0-9]{3}[ ./-]+[0-9]{4}$"), 2).when(hit.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), 3).otherwise(4)
     return {
+        "f_gap": F.when((F.col("kind") == 5) & hit.rlike(GAP), 1).otherwise(0),
         "f_digits": F.when(n < 7, F.least(n, F.lit(6))).when(n < 13, n).when(n < 17, n).when(n < 20, F.lit(17)).otherwise(F.lit(18)),
         "f_seps": F.least(seps, F.lit(6)),
         "f_dots": F.least(F.length(F.regexp_replace(hit, r"[^.]", "")), F.lit(4)),
@@ -83,13 +87,13 @@ def features() -> dict[str, Column]:
 
 
 def failed_check() -> Column:
-    """A candidate that has a base kind's size but not its check."""
+    """A candidate that has a base kind's size but not its check, or an "at" in plain words before what is no host name, since a blank stands beside a dot."""
     digits = digits_of(F.col("hit"))
     n = F.length(digits)
     return (
         ((F.col("kind") == 4) & (F.col("hit").rlike("^[0-9](?:[ -]?[0-9])++$") & n.between(13, 19) & ~luhn(F.substring(digits, 1, 19)) | (n > 19)))
         | ((F.col("kind") == 4) & F.col("hit").rlike(r"^[0-9]+(?:\.[0-9]+){3}$") & ~F.col("hit").rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$"))
-        | ((F.col("kind") == 5) & ~F.col("hit").rlike("[@(\\[]"))
+        | ((F.col("kind") == 5) & ~F.col("hit").rlike("[@(\\[]") & F.col("hit").rlike(GAP))
     )
 
 

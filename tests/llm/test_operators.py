@@ -157,6 +157,20 @@ def test_pii_adds_undecided_candidates(spark):
     assert sum(len(r["base"]) for r in got) == sum(len(brute.pii(t)) for t in texts)
 
 
+def test_pii_adds_written_out_addresses(spark):
+    rng = random.Random(10)
+
+    def around(x):
+        return rng.choice(["", "so ", "mail: ", "("]) + x + rng.choice(["", ", then", " now", ")"])
+
+    mails = [around(f"{prose(rng, 1)}{rng.choice(['', '.x', '7', '.12'])}@{prose(rng, 1)}.{rng.choice(['com', 'co.uk'])}") for _ in range(400)]
+    sentences = [around(f"{prose(rng, 1)} at {prose(rng, 1)}. {prose(rng, 1).title()}") for _ in range(400)]
+    handles = ["john at example dot com", "john at example.com", "john (at) example (dot) com"]
+    docs = list(enumerate(mails + sentences + handles))
+    got = pii.detect(frame(spark, docs)).select("doc_id", spans.joined(F.filter("spans", lambda s: ~s["base"]), pii.KINDS).alias("extra")).collect()
+    assert {r["doc_id"]: r["extra"] for r in got if r["extra"]} == {800 + i: f"handle:0:{len(h)}" for i, h in enumerate(handles)}
+
+
 def test_secret_base_spans(spark):
     texts = KEYS + random_texts("abcdef0189 :=token'\"AKIA", 300, 6) + [None, "token" + " " * 100_000, "token=" * 20_000, "f" * 20_000]
     found = secrets.detect(frame(spark, list(enumerate(texts))))
