@@ -76,16 +76,16 @@ def sizes(length: int) -> tuple[int, int]:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """Distinct (item_id, length, digest, kept hash) of all windows of all items. Hashes are of case-folded words, digests of the exact ones."""
+    """Distinct (item_id, length, digest, kept hash) of all windows of all items. Hashes and digests are of the same words, of which only A to Z are folded."""
     words = items.select("item_id", held(exact_words(F.col("text"))).alias("words")).where(F.size("words") > 0)
     length = F.least(F.size("words"), F.lit(WINDOW))
     starts = words.select("item_id", "words", length.alias("length"), F.explode(F.sequence(F.lit(1), F.size("words") - length + 1)).alias("at"))
-    windows = starts.select("item_id", "length", F.slice("words", F.col("at"), F.col("length")).alias("window"))
-    windows = windows.select("item_id", "length", digest(F.col("window")).alias("digest"), held(F.transform("window", lambda w: F.lower(w))).alias("folded"))
+    windows = starts.select("item_id", "length", held(F.slice("words", F.col("at"), F.col("length"))).alias("window"))
+    windows = windows.select("item_id", "length", digest(F.col("window")).alias("digest"), "window")
     kept = F.lit(None).cast("bigint")
     for n in range(1, WINDOW + 1):
         k, w = sizes(n)
-        hashes = [F.xxhash64(*[F.get("folded", F.lit(i + j)) for j in range(k)]) for i in range(w)]
+        hashes = [F.xxhash64(*[F.get("window", F.lit(i + j)) for j in range(k)]) for i in range(w)]
         kept = F.when(F.col("length") == n, F.least(*hashes) if w > 1 else hashes[0]).otherwise(kept)
     return windows.select("item_id", "length", "digest", kept.alias("kept")).distinct()
 
@@ -100,7 +100,7 @@ def matches(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, Da
     windows = staged(item_windows(items), "windows")
     lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    split = rows.select("doc_id", "text_hash", held(F.split(F.lower("text"), SEPARATORS)).alias("words"))
+    split = rows.select("doc_id", "text_hash", held(F.split(F.translate("text", UPPER, LOWER), SEPARATORS)).alias("words"))
     empty_end = (F.get("words", F.lit(0)) == "").cast("int") + ((F.size("words") > 1) & (F.element_at("words", -1) == "")).cast("int")
     n_words = (F.size("words") - empty_end).cast("long").alias("n_words")
     ks = sorted({sizes(n)[0] for n in lengths})
@@ -116,8 +116,7 @@ def matches(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, Da
     found = shared.where("length > 0").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("length", "kept")).alias("shared"))
     again = rows.alias("r").join(found.alias("f"), F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("r.text_hash") == F.col("f.text_hash")))
     again = again.select("r.doc_id", "r.text_hash", "shared", held(exact_words(F.col("text"))).alias("words"))
-    again = again.select("*", held(F.transform("words", lambda w: F.lower(w))).alias("folded"))
-    again = again.select("doc_id", "text_hash", "words", "shared", *([held(F.struct(*[grams(F.col("folded"), k).alias(f"g{k}") for k in ks])).alias("g")] if ks else []))
+    again = again.select("doc_id", "text_hash", "words", "shared", *([held(F.struct(*[grams(F.col("words"), k).alias(f"g{k}") for k in ks])).alias("g")] if ks else []))
     again = again.select("*", *([held(F.struct(*[window_minima(F.col(f"g.g{k}"), w).alias(f"m{n}") for n in lengths for k, w in [sizes(n)]])).alias("m")] if ks else []))
     starts = [F.filter(F.transform(F.col(f"m.m{n}"), candidate(n)), lambda x: x["is_shared"]) for n in lengths]
     starts = F.concat(*starts) if starts else F.array().cast("array<struct<is_shared:boolean,length:int,at:int>>")

@@ -266,6 +266,16 @@ def test_winnowing_equals_brute_force(spark):
     assert got == want
 
 
+def test_winnowing_folds_words_alike_on_both_sides(spark):
+    """Lower case of a capital sigma depends on what stands beside it."""
+    texts = ["\u0391.\u03a3. x y", "\u039f\u0394\u039f\u03a3.\u0391\u0392 x y", "\u039b\u0391\u039f\u03a3'\u0391 x y"]
+    items = list(enumerate(texts))
+    docs = [(i, f"q {t} z") for i, t in items]
+    got = decontaminate.contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in got.collect()}
+    assert got == dict(enumerate(brute.contamination(docs, items))) and all(r[1] == 4 for r in got.values())
+
+
 @pytest.mark.parametrize("n_docs, n_items", [(0, 2), (2, 0)])
 def test_winnowing_empty_tables(spark, n_docs, n_items):
     docs = frame(spark, [(1, prose(random.Random(1), 20)), (2, "x")]).limit(n_docs)
