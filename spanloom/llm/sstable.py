@@ -16,8 +16,11 @@ Keys are order-preserving: a null id is ``00``, an integer ``01`` and 8 big-endi
 little-endian ids, 2 bytes wide where the vocabulary allows. Point lookup asks the Bloom filter, searches the index and then
 the block's restarts, each by halving.
 
+A shard ends at ``shard_bytes``, so one task may write several, and its writer holds a block, the sparse index and 8 bytes a key.
+
 Rows: a null text is empty (its entry holds the end id alone); a null doc_id sorts first; repeated ids are separate entries with
-one key, ordered by a hash of the text; an empty table gives no shard and no row; other columns are ignored.
+one key, ordered by a hash of the text; strings of special tokens in a text get the ids that the tokenizer gives them; very long texts are encoded
+whole; an empty table gives no shard and no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import public_tokenizers
@@ -42,7 +46,7 @@ MAGIC = b"SPLSST01"
 RESTART = 16
 BITS_PER_KEY = 10
 FOOTER = "<QIQIQII8s"
-MANIFEST = "shard int, path string, n_docs long, n_tokens long, first_key binary, last_key binary"
+MANIFEST = "task int, shard int, path string, n_docs long, n_tokens long, first_key binary, last_key binary"
 ENCODED = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -74,21 +78,24 @@ def read_varint(buf, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def bloom_bits(key: bytes, n_bits: int) -> list[int]:
+def key_hash(key: bytes) -> int:
     import xxhash
 
-    h = xxhash.xxh64_intdigest(key)
+    return xxhash.xxh64_intdigest(key)
+
+
+def bloom_bits(h: int, n_bits: int) -> list[int]:
     a, b = h & 0xFFFFFFFF, (h >> 32) | 1
     return [(a + i * b) % n_bits for i in range(7)]
 
 
 class SSTableWriter:
-    """Streams sorted entries to an open binary file; holds one block, the index and the keys' filter positions."""
+    """Streams sorted entries to an open binary file; holds one block, the index and a hash of each key."""
 
     def __init__(self, out, id_width: int, end_id: int, block_bytes: int = 1 << 16):
         self.out, self.id_width, self.end_id, self.block_bytes = out, id_width, end_id, block_bytes
         self.block, self.restarts, self.in_block, self.last = bytearray(), [], 0, b""
-        self.at, self.index, self.keys = 0, [], []
+        self.at, self.index, self.hashes = 0, [], array("Q")
         self.n = self.tokens = self.before = 0
         self.first: bytes | None = None
 
@@ -103,8 +110,8 @@ class SSTableWriter:
         self.block += varint(shared) + varint(len(key) - shared) + varint(len(value)) + key[shared:] + value
         if self.first is None:
             self.first = key
-        if not self.keys or self.keys[-1] != key:
-            self.keys.append(key)
+        if self.n == 0 or key != self.last:
+            self.hashes.append(key_hash(key))
         self.last = key
         self.in_block += 1
         self.n += 1
@@ -129,10 +136,10 @@ class SSTableWriter:
     def close(self) -> None:
         self._flush()
         index = b"".join(struct.pack("<QIQH", *entry[:3], len(entry[3])) + entry[3] for entry in self.index)
-        n_bits = max(64, len(self.keys) * BITS_PER_KEY + 7 & ~7)
+        n_bits = max(64, len(self.hashes) * BITS_PER_KEY + 7 & ~7)
         bits = bytearray(n_bits // 8)
-        for key in self.keys:
-            for b in bloom_bits(key, n_bits):
+        for h in self.hashes:
+            for b in bloom_bits(h, n_bits):
                 bits[b >> 3] |= 1 << (b & 7)
         meta = json.dumps({"id_width": self.id_width, "end_id": self.end_id, "entries": self.n, "tokens": self.tokens, "first": (self.first or b"").hex(), "last": self.last.hex()}).encode()
         parts, places = [index, bytes(bits), meta], []
@@ -194,7 +201,7 @@ class SSTable:
     def get(self, doc_id: int | None) -> list[bytes]:
         """Values under an id, in file order; [] if it isn't there."""
         key = pack_key(doc_id)
-        if not all(self.bloom[b >> 3] >> (b & 7) & 1 for b in bloom_bits(key, len(self.bloom) * 8)):
+        if not all(self.bloom[b >> 3] >> (b & 7) & 1 for b in bloom_bits(key_hash(key), len(self.bloom) * 8)):
             return []
         low, high = 0, len(self.index)
         while low < high:
@@ -240,7 +247,8 @@ class UnitEncoder:
     The usual splitting rule of byte-level tokenizers starts a new piece at each space that follows a non-space, so texts cut there encode
     part by part. The parts of a batch are numbered by Arrow, each distinct one is encoded once, and recent ones are remembered. A part of plain
     Latin letters, digits and signs is cut again where letters begin or end and at single line ends, which are borders under that rule as well.
-    Texts with white space before a space, where the rule looks ahead, and texts for other tokenizers are encoded whole.
+    Texts with white space before a space, where the rule looks ahead, with a 0 character, which marks first parts here, or with the string of an added
+    token, and texts for other tokenizers are encoded whole.
     """
 
     LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
@@ -249,8 +257,9 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
         parts = json.loads(definition)
+        added = [re.escape(t["content"]) for t in parts.get("added_tokens") or []]
+        self.odd = "|".join([r"[\s\x0b\x{85}\p{Z}\x1c-\x1f] ", r"\x00", *added])
         pre = parts.get("pre_tokenizer") or {}
         self.by_unit = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not parts.get("normalizer")
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
@@ -297,8 +306,9 @@ class UnitEncoder:
         if not self.by_unit:
             return self.whole(texts.to_pylist())
         out: list[bytes] = []
-        odd = pc.match_substring_regex(texts, r"[\s\x0b\x{85}\p{Z}\x1c-\x1f] ").to_pylist()
-        marked = pc.binary_join_element_wise(pa.scalar("\0"), texts, pa.scalar(""))
+        is_odd = pc.match_substring_regex(texts, self.odd)
+        odd = is_odd.to_pylist()
+        marked = pc.binary_join_element_wise(pa.scalar("\0"), pc.if_else(is_odd, "", texts), pa.scalar(""))
         pieces = pc.split_pattern(marked, " ")
         coded = pc.list_flatten(pieces).dictionary_encode()
         units = coded.dictionary.to_pylist()
@@ -319,22 +329,22 @@ class UnitEncoder:
         return out
 
 
+_KEPT: dict[str, UnitEncoder] = {}
+
+
 def kept_encoder(definition: str) -> UnitEncoder:
     """The worker process's encoder for a tokenizer, with the parts that earlier tasks have met."""
-    import tokenizers
-
-    kept = vars(tokenizers).setdefault("spanloom_encoder", {})
-    if definition not in kept:
-        kept.clear()
-        kept[definition] = UnitEncoder(definition)
-    return kept[definition]
+    if definition not in _KEPT:
+        _KEPT.clear()
+        _KEPT[definition] = UnitEncoder(definition)
+    return _KEPT[definition]
 
 
-def write_sstables(docs: DataFrame, folder: str, tokenizer_json: str, end_id: int = 2, block_bytes: int = 1 << 16) -> DataFrame:
+def write_sstables(docs: DataFrame, folder: str, tokenizer_json: str, end_id: int = 2, block_bytes: int = 1 << 16, shard_bytes: int = 1 << 28) -> DataFrame:
     """Encode ``text`` of ``docs`` and write it to shards in ``folder`` by ascending ``doc_id``; returns the manifest, a row per shard.
 
-    One range shuffle moves the texts; each task streams one shard, so memory holds a batch, a block and a shard's keys. A task that
-    runs again writes another file, and the manifest, itself a table in ``folder``, names those that count.
+    One range shuffle moves the texts; each task streams shards of about ``shard_bytes``, so memory holds a batch, a block and a shard's index, whatever a task is
+    dealt. A task that runs again writes other files, and the manifest, itself a table in ``folder``, names those that count.
     """
     spark = docs.sparkSession
     definition = spark.sparkContext.broadcast(tokenizer_json)
@@ -348,24 +358,30 @@ def write_sstables(docs: DataFrame, folder: str, tokenizer_json: str, end_id: in
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        writer, shard, at = None, TaskContext.get().partitionId(), ""
-        encoder = None
+        task, shard, writer, at = TaskContext.get().partitionId(), 0, None, ""
+
+        def entry():
+            writer.close()
+            return pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int32()), "shard": pa.array([shard], pa.int32()), "path": [at], "n_docs": [writer.n], "n_tokens": [writer.tokens], "first_key": pa.array([writer.first], pa.binary()), "last_key": pa.array([writer.last], pa.binary())})
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if writer is None:
-                encoder = kept_encoder(definition.value)
-                end = end_id.to_bytes(2 if encoder.dtype == "<u2" else 4, "little")
-                at = f"{folder}/{shard:06d}-{uuid.uuid4().hex}.sst"
-                fs, path = open_fs(at)
-                writer = SSTableWriter(fs.open_output_stream(path), len(end), end_id, block_bytes)
+            encoder = kept_encoder(definition.value)
+            end = end_id.to_bytes(2 if encoder.dtype == "<u2" else 4, "little")
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
+                    if writer is not None and writer.at >= shard_bytes:
+                        yield entry()
+                        writer, shard = None, shard + 1
+                    if writer is None:
+                        at = f"{folder}/{task:06d}-{shard:04d}-{uuid.uuid4().hex}.sst"
+                        fs, path = open_fs(at)
+                        writer = SSTableWriter(fs.open_output_stream(path), len(end), end_id, block_bytes)
                     writer.add(pack_key(doc_id), ids + end)
         if writer is not None:
-            writer.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [at], "n_docs": [writer.n], "n_tokens": [writer.tokens], "first_key": pa.array([writer.first], pa.binary()), "last_key": pa.array([writer.last], pa.binary())})
+            yield entry()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     tie = F.xxhash64("text")
@@ -379,8 +395,8 @@ def read_sstables(manifest: DataFrame) -> DataFrame:
 
     ``start`` counts the ids of all documents before it: the shards' totals are summed over the manifest, which has a row per shard.
     """
-    order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    placed = manifest.select("shard", "path", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("base"))
+    order = Window.orderBy("task", "shard").rowsBetween(Window.unboundedPreceding, -1)
+    placed = manifest.select("task", "shard", "path", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("base"))
 
     def documents(batches):
         import numpy as np
@@ -391,7 +407,7 @@ def read_sstables(manifest: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids_crc32": pa.array(crcs, pa.int64())})
 
         for shards in batches:
-            for at, start in zip(shards.column(1).to_pylist(), shards.column(2).to_pylist(), strict=True):
+            for at, start in zip(shards.column(2).to_pylist(), shards.column(3).to_pylist(), strict=True):
                 fs, path = open_fs(at)
                 rows = []
                 with fs.open_input_file(path) as source:
@@ -407,7 +423,7 @@ def read_sstables(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    return placed.repartitionByRange(max(1, manifest.count()), "shard").mapInArrow(tidy(documents), ENCODED)
+    return placed.repartitionByRange(max(1, manifest.count()), "task", "shard").mapInArrow(tidy(documents), ENCODED)
 
 
 def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
