@@ -2,11 +2,11 @@
 
 A window is ``WINDOW`` consecutive words of an item, or all words of a shorter one. Texts' word k-grams are hashed, and of every ``WINDOW - k + 1``
 neighbours the smallest hash is kept, so equal windows always share a kept hash: no shared span of a window's length is missed. Documents'
-distinct kept hashes meet those of the items; where one is shared, the hit is extended to the windows around it, which are then compared as
-wholes by digest. Words are counted as hit if any such window covers them.
+kept hashes, an entry for each run of windows that keep the same one, meet those of the items; where one is shared, the hit is extended to all windows of its
+run, which are then compared as wholes by digest. Words are counted as hit if any such window covers them.
 
-Cost: documents are split and hashed in one pass that emits their distinct kept hashes. Item hashes are broadcast only if their counted number is at
-most ``BROADCAST_ROWS``; otherwise both sides are shuffled. Only documents that share a hash are read again.
+Cost: documents are split and hashed in one pass; nothing is read again, and only words around shared hashes go on. Item hashes are broadcast only if
+their counted number is at most ``BROADCAST_ROWS``; otherwise both sides are shuffled, the documents' with the words of their windows.
 
 Rows: null texts and items have no words and no hits; items of one id act together, and items with a null id hit but are not listed; repeated
 documents get equal rows each; empty tables on either side work; only doc_id and text, item_id and text are read.
@@ -69,6 +69,24 @@ def window_minima(hashes: Column, w: int) -> Column:
     return F.when(F.size(hashes) >= w, F.transform(F.sequence(F.lit(0), F.size(hashes) - w), smallest)).otherwise(F.array().cast("array<bigint>"))
 
 
+def changes(minima: Column) -> Column:
+    """Where a run of equal minima begins, with the length of the array at the end; ``minima`` must be a plain column."""
+    places = F.sequence(F.lit(0), F.size(minima) - 1)
+    begun = F.filter(places, lambda i: (i == 0) | (F.get(minima, i) != F.get(minima, i - 1)))
+    return F.when(F.size(minima) > 0, F.array_append(begun, F.size(minima))).otherwise(F.array().cast("array<int>"))
+
+
+def fingerprints(minima: Column, starts: Column, length: int) -> Column:
+    """array of struct(length, kept, at, n): a run of n windows from ``at`` that keep the same hash. Arguments must be plain columns."""
+    last = F.size(starts) - 1
+
+    def entry(i: Column) -> Column:
+        at = F.get(starts, i)
+        return F.struct(F.lit(length).alias("length"), F.get(minima, at).alias("kept"), at.alias("at"), (F.get(starts, i + 1) - at).alias("n"))
+
+    return F.when(last > 0, F.transform(F.sequence(F.lit(0), last - 1), entry)).otherwise(F.array().cast("array<struct<length:int,kept:bigint,at:int,n:int>>"))
+
+
 def sizes(length: int) -> tuple[int, int]:
     """(k, number of neighbours) for windows of a length."""
     k = min(GRAM, length)
@@ -96,46 +114,43 @@ def digest(window: Column) -> Column:
 
 def matches(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, hits, windows): (doc_id, text_hash, n_words) of every row; distinct (doc_id, text_hash, at, length, digest) of
-    occurring item windows, ``at`` from 0; and the items' windows. Documents are keyed by id and text, so repeated rows are worked on once."""
+    occurring item windows, ``at`` from 0; and the items' windows. Documents are keyed by id and text, so repeated rows are worked on once.
+
+    Texts are read once. A fingerprint that meets an item's carries the words of its run of windows, which are then compared; so no text is shuffled.
+    """
     windows = staged(item_windows(items), "windows")
     lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())
+    small = windows.count() <= BROADCAST_ROWS
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    split = rows.select("doc_id", "text_hash", held(F.split(F.translate("text", UPPER, LOWER), SEPARATORS)).alias("words"))
-    empty_end = (F.get("words", F.lit(0)) == "").cast("int") + ((F.size("words") > 1) & (F.element_at("words", -1) == "")).cast("int")
-    n_words = (F.size("words") - empty_end).cast("long").alias("n_words")
-    ks = sorted({sizes(n)[0] for n in lengths})
-    hashed = split.select("doc_id", "text_hash", n_words, *([held(F.struct(*[grams(F.col("words"), k).alias(f"g{k}") for k in ks])).alias("g")] if ks else []))
-    kept = [F.transform(F.array_distinct(window_minima(F.col(f"g.g{k}"), w)), tag(n)) for n in lengths for k, w in [sizes(n)]]
-    mark = F.struct(F.lit(0).alias("length"), F.lit(0).cast("bigint").alias("kept"))
-    emitted = hashed.select("doc_id", "text_hash", "n_words", F.explode(F.concat(F.array(mark), *kept)).alias("x")).select("doc_id", "text_hash", "n_words", "x.*")
+    words = rows.select("doc_id", "text_hash", held(exact_words(F.col("text"))).alias("words"))
+    stepped = words.select("*", F.size("words").cast("long").alias("n_words"))
+    entries = []
+    for k in sorted({sizes(n)[0] for n in lengths}):
+        stepped = stepped.select("*", held(grams(F.col("words"), k)).alias(f"g{k}"))
+    for n in lengths:
+        k, w = sizes(n)
+        stepped = stepped.select("*", held(window_minima(F.col(f"g{k}"), w)).alias(f"m{n}"))
+        stepped = stepped.select("*", held(changes(F.col(f"m{n}"))).alias(f"s{n}"))
+        entries.append(fingerprints(F.col(f"m{n}"), F.col(f"s{n}"), n))
+    mark = F.struct(F.lit(0).alias("length"), F.lit(0).cast("bigint").alias("kept"), F.lit(0).alias("at"), F.lit(1).alias("n"))
+    emitted = stepped.select("doc_id", "text_hash", "n_words", "words", F.explode(F.concat(F.array(mark), *entries)).alias("x")).select("doc_id", "text_hash", "n_words", "words", "x.*")
     known = windows.select("length", "kept").distinct()
     known = known.unionByName(docs.sparkSession.range(1).select(F.lit(0).alias("length"), F.lit(0).cast("bigint").alias("kept")))
-    known = F.broadcast(known) if windows.count() <= BROADCAST_ROWS else known
-    shared = staged(emitted.join(known, ["length", "kept"]), "fingerprints")
-
-    found = shared.where("length > 0").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("length", "kept")).alias("shared"))
-    again = rows.alias("r").join(found.alias("f"), F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("r.text_hash") == F.col("f.text_hash")))
-    again = again.select("r.doc_id", "r.text_hash", "shared", held(exact_words(F.col("text"))).alias("words"))
-    again = again.select("doc_id", "text_hash", "words", "shared", *([held(F.struct(*[grams(F.col("words"), k).alias(f"g{k}") for k in ks])).alias("g")] if ks else []))
-    again = again.select("*", *([held(F.struct(*[window_minima(F.col(f"g.g{k}"), w).alias(f"m{n}") for n in lengths for k, w in [sizes(n)]])).alias("m")] if ks else []))
-    starts = [F.filter(F.transform(F.col(f"m.m{n}"), candidate(n)), lambda x: x["is_shared"]) for n in lengths]
-    starts = F.concat(*starts) if starts else F.array().cast("array<struct<is_shared:boolean,length:int,at:int>>")
-    spread = again.select("doc_id", "text_hash", "words", F.explode(starts).alias("s"))
-    placed = spread.select("doc_id", "text_hash", F.col("s.at").alias("at"), F.col("s.length").alias("length"), digest(F.slice("words", F.col("s.at") + 1, F.col("s.length"))).alias("digest"))
+    part = F.slice("words", F.col("at") + 1, F.col("n") + F.col("length") - 1).alias("part")
+    columns = ["doc_id", "text_hash", "n_words", "length", "at", "n"]
+    if small:
+        shared = emitted.join(F.broadcast(known), ["length", "kept"]).select(*columns, part)
+    else:
+        shared = emitted.select(*columns, "kept", part).join(known, ["length", "kept"]).select(*columns, "part")
+    shared = staged(shared, "fingerprints")
+
+    starts = shared.where("length > 0").select("doc_id", "text_hash", "length", "part", F.col("at").alias("first"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    placed = starts.select("doc_id", "text_hash", (F.col("first") + F.col("i")).alias("at"), "length", digest(F.slice("part", F.col("i") + 1, F.col("length"))).alias("digest"))
     exact = windows.select("length", "digest").distinct()
-    exact = F.broadcast(exact) if windows.count() <= BROADCAST_ROWS else exact
-    hits = staged(placed.join(exact, ["length", "digest"]).distinct(), "hits")
+    hits = staged(placed.join(F.broadcast(exact) if small else exact, ["length", "digest"]).distinct(), "hits")
     return shared.where("length = 0").select("doc_id", "text_hash", "n_words"), hits, windows
 
 
-def tag(n: int):
-    return lambda x: F.struct(F.lit(n).alias("length"), x.alias("kept"))
-
-
-def candidate(n: int):
-    return lambda x, i: F.struct(F.array_contains("shared", F.struct(F.lit(n).alias("length"), x.alias("kept"))).alias("is_shared"), F.lit(n).alias("length"), i.alias("at"))
-
-
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n_words, n_hit, item_ids) of every row of ``docs``; ``item_ids`` are strings in order."""
     rows, hits, windows = matches(docs, items)
