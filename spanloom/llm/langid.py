@@ -6,8 +6,8 @@ come from expectation maximisation over the same lattices. A text's score is the
 largest wins under equal priors.
 
 Fitting reads a bounded sample: up to ``per_lang`` labelled documents of at most ``max_chars`` characters from each language, those
-with the smallest hashes among the documents not held out. Prediction reads every whole text; runs of letters over
-``LONGEST`` characters are scored in parts of that length.
+with the smallest hashes among the documents not held out; of a language that has only longer ones, its shortest. Prediction reads every whole text. Runs of letters over
+``LONGEST`` characters are cut into parts of that length, in fitting and in prediction alike, and every part counts; segmentations across a cut do not.
 
 Rows: a null text, or one without a letter, is ``und`` with score 0; so is everything if no labelled row could be learned from. Ties go to
 the language that sorts first. Rows without doc_id are not held out and not learned from. Repeated rows get equal results; an empty
@@ -29,6 +29,8 @@ from spanloom.llm.worker import give_back
 LONGEST = 40
 #: Documents whose new words are scored together.
 GROUP = 500
+#: Words that are looked up, or scored, together; sums go by such lots, so that equal texts have equal scores whatever else is in memory.
+LOT = 10_000
 START = "▁"
 FLOOR = 1e-7
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -45,6 +47,11 @@ def words_of(text: str) -> list[str]:
     return words
 
 
+def parts_of(word: str) -> list[str]:
+    """A word behind the start mark, in parts of at most ``LONGEST`` of its characters."""
+    return [START + word[:LONGEST], *(word[i : i + LONGEST] for i in range(LONGEST, len(word), LONGEST))]
+
+
 @dataclass
 class Lattice:
     """Words of one length: for each start and piece length, the piece's number; ``unknown`` for a lone letter, ``none`` otherwise."""
@@ -98,9 +105,9 @@ class Model:
         """(words, languages), the log of the sum over all segmentations of each word."""
         parts, owner = [], []
         for k, w in enumerate(words):
-            for i in range(0, len(w), LONGEST):
-                parts.append((START if i == 0 else "") + w[i : i + LONGEST])
-                owner.append(k)
+            cut = parts_of(w)
+            parts += cut
+            owner += [k] * len(cut)
         out = np.zeros((len(words), len(self.langs)))
         longest = max(map(len, self.pieces), default=1)
         for lattice in Lattice.build(parts, self.pieces, longest):
@@ -118,11 +125,16 @@ def vocabulary(path: str) -> list[str]:
 def fit_counts(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = 4) -> Model:
     """Model from word counts by language, by expectation maximisation over the words' lattices."""
     langs = sorted(counts)
-    words = sorted({w for c in counts.values() for w in c})
     number = {x: i for i, x in enumerate(pieces)}
-    weight = np.array([[counts[g].get(w, 0) for g in langs] for w in words], float).reshape(len(words), len(langs))
-    marked = [(START + w)[:LONGEST] for w in words]
-    lattices = Lattice.build(marked, number, max(map(len, pieces), default=1))
+    column = {g: i for i, g in enumerate(langs)}
+    weights: dict[str, np.ndarray] = {}
+    for g in langs:
+        for w, n in counts[g].items():
+            for part in parts_of(w):
+                weights.setdefault(part, np.zeros(len(langs)))[column[g]] += n
+    parts = sorted(weights)
+    weight = np.array([weights[x] for x in parts], float).reshape(len(parts), len(langs))
+    lattices = Lattice.build(parts, number, max(map(len, pieces), default=1))
     seen = np.zeros((len(pieces) + 2, len(langs)))
     for lattice in lattices:
         for _, _, ids in lattice.steps:
@@ -147,18 +159,23 @@ def fit_counts(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int
 
 
 def fit(docs: DataFrame, per_lang: int = 150, max_chars: int = 20_000, vocabulary_file: str | None = None) -> Model:
-    """Learn from up to ``per_lang`` documents of each non-null ``lang``, none of them held out, none over ``max_chars`` characters.
+    """Learn from up to ``per_lang`` documents of each non-null ``lang``, none of them held out, none over ``max_chars`` characters unless all are.
 
-    Candidates are cut down by a hash threshold from the languages' counts where the rows are, so the driver gets about twice the sample.
+    Candidates are cut down by a hash threshold from the languages' counts where the rows are, so the driver gets about three times the sample.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    totals = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    u = F.xxhash64("doc_id", F.length("text"))
+    fits = F.length("text") <= max_chars
+    shortest = F.min(F.struct(F.length("text"), u, "doc_id"))
+    totals = {r["lang"]: (r["n"], r["first"]) for r in usable.groupBy("lang").agg(F.count_if(fits).alias("n"), shortest.alias("first")).collect()}
     pieces = vocabulary(vocabulary_file or public_tokenizers.path("piece_bpe_32k.model"))
     counts: dict[str, dict[str, int]] = {}
     if totals:
-        u = F.xxhash64("doc_id", F.length("text"))
-        share = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, min(1.0, 3.0 * per_lang / n))])
-        near = usable.where((F.shiftrightunsigned(u, 11) / float(1 << 53) < share[F.col("lang")]) & (F.length("text") <= max_chars))
+        share = F.create_map(*[F.lit(x) for lang, (n, _) in totals.items() for x in (lang, min(1.0, 3.0 * per_lang / max(1, n)))])
+        near = usable.where((F.shiftrightunsigned(u, 11) / float(1 << 53) < share[F.col("lang")]) & fits)
+        for lang, (n, first) in totals.items():
+            if not n:
+                near = near.unionByName(usable.where((F.col("lang") == lang) & (F.length("text") == first[0]) & (F.col("doc_id") == first[2])).orderBy("text").limit(1))
         drawn = sorted(near.select("lang", u.alias("u"), "doc_id", "text").collect(), key=lambda r: (r["lang"], r["u"], r["doc_id"], r["text"]))
         taken: dict[str, int] = {}
         for r in drawn:
@@ -178,26 +195,36 @@ def predict(docs: DataFrame, model: Model, most: int = 250_000) -> DataFrame:
         import pandas as pd
 
         model = shared.value
-        kept, table = model.__dict__.setdefault("kept", ({}, np.zeros((most, max(1, len(model.langs))), np.float32)))
+        kept, table = model.__dict__.setdefault("kept", ({}, np.zeros((max(most, LOT), max(1, len(model.langs))))))
         langs, scores = [], []
-        for i in range(0, len(texts), GROUP):
-            texts_words = [words_of(t) if t and model.langs else [] for t in texts.iloc[i : i + GROUP]]
-            new = list({w for words in texts_words for w in words if w not in kept})
+
+        def rows_of(words):
+            return np.fromiter(map(kept.__getitem__, words), np.int64, len(words))
+
+        def learn(words):
+            new = list({w for w in words if w not in kept})
             if len(kept) + len(new) > most:
                 kept.clear()
-                new = list({w for words in texts_words for w in words})
-            if len(new) <= most and new:
-                table[len(kept) : len(kept) + len(new)] = model.log_likelihoods(new)
-                kept.update(zip(new, range(len(kept), len(kept) + len(new)), strict=True))
-            for words in texts_words:
+                new = list(set(words))
+            for j in range(0, len(new), LOT):
+                table[len(kept) : len(kept) + len(new[j : j + LOT])] = model.log_likelihoods(new[j : j + LOT])
+                kept.update(zip(new[j : j + LOT], range(len(kept), len(kept) + len(new)), strict=False))
+
+        for i in range(0, len(texts), GROUP):
+            group = [words_of(t) if t and model.langs else [] for t in texts.iloc[i : i + GROUP]]
+            several = len({w for words in group for w in words}) <= most
+            if several:
+                learn([w for words in group for w in words])
+            for words in group:
                 if not words:
                     langs.append("und")
                     scores.append(0.0)
                     continue
-                if len(new) <= most:
-                    total = table[np.fromiter(map(kept.__getitem__, words), np.int64, len(words))].sum(0, dtype=np.float64)
-                else:
-                    total = sum(model.log_likelihoods(words[j : j + 10_000]).sum(0) for j in range(0, len(words), 10_000))
+                total = np.zeros(len(model.langs))
+                for j in range(0, len(words), LOT):
+                    if not several:
+                        learn(words[j : j + LOT])
+                    total += table[rows_of(words[j : j + LOT])].sum(0)
                 best = int(total.argmax())
                 langs.append(model.langs[best])
                 scores.append(float(1 / np.exp(np.minimum(total - total[best], 0)).sum()))
