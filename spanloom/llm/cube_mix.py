@@ -45,6 +45,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.filter(F.split(spaces, " +"), lambda w: w != "")), F.lit(0)).cast("long")
 
 
+def text_hash() -> Column:
+    """A hash of ``text`` that tells null from empty."""
+    return F.xxhash64("text", F.col("text").isNull())
+
+
 def targets_of(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(source, source_size, target) from rows (source, size): water-filling in closed form over the sources in order of cap by weight."""
     sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
@@ -176,7 +181,7 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float =
 
     Texts are read once, for their sizes. What is shuffled after that are rows of numbers, by chunk, over the session's number of partitions; each partition streams many chunks.
     """
-    measured = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), F.xxhash64("text", F.col("text").isNull()).alias("text_hash"))
+    measured = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), text_hash().alias("text_hash"))
     sizes = staged(measured, "mix-sizes")
     sources = staged(targets_of(sizes, weights, share, most), "mix-sources")
     rows = sizes.alias("a").join(sources.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("doc_id", "a.source", "size", "text_hash", "source_size", "n_docs", "target")
