@@ -103,11 +103,19 @@ def calibrate(model: Boosted, x: np.ndarray, pos: np.ndarray, neg: np.ndarray) -
 
 
 def threshold(model: Boosted, x: np.ndarray, pos: np.ndarray, neg: np.ndarray, precision: float) -> float | None:
-    """Lowest calibrated score at and above which held-out precision, with one added miss, reaches ``precision``; None if none does."""
+    """Calibrated score from which on held-out precision, with one added miss, is at least ``precision``, and one half at least; None if there is none.
+
+    Scores are taken from the highest down, and one with more misses than hits among its own held-out cases ends that, so that many easy cases above it
+    don't pay for it. The threshold lies in the middle between the lowest score that passes and the next that doesn't.
+    """
     p = model.probability(x)
-    found = None
+    found, below = None, 0.0
     for t in np.unique(p)[::-1]:
         at = p >= t
-        if pos[at].sum() / (pos[at].sum() + neg[at].sum() + 1) >= precision:
-            found = float(t)
-    return found
+        if neg[p == t].sum() <= pos[p == t].sum() and pos[at].sum() / (pos[at].sum() + neg[at].sum() + 1) >= precision:
+            found, below = float(t), 0.0
+            continue
+        below = below or float(t)
+        if neg[p == t].sum() > pos[p == t].sum():
+            break
+    return None if found is None else max(0.5, (found + below) / 2)
