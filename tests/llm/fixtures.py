@@ -67,3 +67,26 @@ def personal_data(seed):
         if kinds is planted:
             spans.add((i, text.index(inner), text.index(inner) + len(inner)))
     return docs, spans
+
+
+def secret_tokens(seed):
+    """(documents, spans): random keys without a telling name, few of each length, which are the spans (doc_id, start, end) returned, among long words, names and numbers."""
+    rng = random.Random(seed)
+    every = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def key():
+        alphabet, length = rng.choice([(every, 22), (every, 30), (every, 40), (every, 64), ("0123456789ABCDEF", 32), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32), ("0123456789abcdefghijklmnopqrstuvwxyz", 25)])
+        return "".join(rng.choice(alphabet) for _ in range(length))
+
+    def long_word():
+        return "".join(rng.choice(SYLLABLES) for _ in range(rng.randint(8, 20)))
+
+    others = [long_word, lambda: long_word().title(), lambda: f"{long_word()}_{word(rng)}", lambda: f"{long_word()}-{rng.randint(1, 2030)}", lambda: "-".join(word(rng) for _ in range(8)), lambda: f"20{rng.randint(10, 24)}-01-02-{word(rng)}-{word(rng)}-report"]
+    docs, spans = [], set()
+    for i in range(1200):
+        inner = key() if i % 12 == 0 else rng.choice(others)()
+        text = sentence(rng, inner)
+        docs.append((i, text))
+        if i % 12 == 0:
+            spans.add((i, text.index(inner), text.index(inner) + len(inner)))
+    return docs, spans
