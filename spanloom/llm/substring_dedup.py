@@ -7,11 +7,13 @@ ones; a span that the index or the batch has under a smaller id is a repeat as a
 than ``FAN_IN`` runs they are compacted into one.
 
 Spans that share a fingerprint but not their digest may still share windows. The windows of the first documents of such spans are verified one by one by a
-128-bit digest. All merges sort by fingerprint and stream, so a fingerprint that many documents share costs its rows and no pairs; equal spans of one
-document are one entry, and entries that a smaller id of the same task has already are known repeats: they don't go where their fingerprint goes.
+128-bit digest. Entries are dealt by fingerprint and digest, so that a fingerprint of many documents with different words around it spreads over tasks; equal spans of one
+document are one entry, and entries that a smaller id of the same task has already are known repeats, dealt by their document. Which fingerprints have several spans, and which
+windows several documents, is summed before it is shuffled, and joined from tables that Spark can split where a key is hot. No pairs are made.
 
 Rows: null text has no words; texts of fewer than ``WINDOW`` words lose none; repeats within one document or one doc_id stay, since no smaller id has them; null
-ids count as larger than all others and equal to each other; repeated rows get equal results; an empty table gives no row; only doc_id and text are read.
+ids count as larger than all others and equal to each other; repeated rows get equal results; very long texts are worked on whole; an empty table gives no row; only
+doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from spanloom.llm.worker import tidy
 from spanloom.staging import staged
 
 WINDOW, GRAM = 50, 8
-FAN_IN = 4
-LAST_ID = (1 << 63) - 1
+FAN_IN = 2
+KEY = ["no_id", "row_id", "row_hash"]
 MULTIPLIERS = np.random.default_rng(9).integers(1, 1 << 63, 4, dtype=np.uint64) | np.uint64(1)
 INVERSES = np.array([pow(int(m), -1, 1 << 64) for m in MULTIPLIERS], np.uint64)
 
@@ -104,12 +106,13 @@ def spans_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 def row_key(docs: DataFrame) -> DataFrame:
-    """``docs`` as (row_id, row_hash, doc_id, text): plain columns that tell all rows apart but equal ones."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("row_id"), F.xxhash64("text", F.col("text").isNull()).alias("row_hash"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """``docs`` as (no_id, row_id, row_hash, text): plain columns that tell all rows apart but equal ones; rows without an id sort last."""
+    row_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("row_id")
+    return docs.select(F.col("doc_id").isNull().alias("no_id"), row_id, F.xxhash64("text", F.col("text").isNull()).alias("row_hash"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """A row per document: (row_id, row_hash, doc_id, n_words, whole_sha256, spans)."""
+    """A row per document: (no_id, row_id, row_hash, n_words, whole_sha256, spans)."""
 
     def work(batches):
         import pyarrow as pa
@@ -126,28 +129,32 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             prints, digests, windows, places, first = (np.concatenate(c) for c in zip(*columns, strict=True))
             at = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(places)], pa.int32()), pa.array(first, pa.int32()))
             values = pa.StructArray.from_arrays([pa.array(prints, pa.int64()), pa.array(digests, pa.int64()), pa.array(windows, pa.int32()), at], names=["print", "digest", "windows", "at"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(counts, pa.int64()), pa.array(shas), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)], names=["row_id", "row_hash", "doc_id", "n_words", "whole_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(counts, pa.int64()), pa.array(shas), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)], names=[*KEY, "n_words", "whole_sha256", "spans"])
 
-    return row_key(docs).mapInArrow(tidy(work), "row_id long, row_hash long, doc_id long, n_words long, whole_sha256 string, spans array<struct<print:long,digest:long,windows:int,at:array<int>>>")
+    return row_key(docs).mapInArrow(tidy(work), "no_id boolean, row_id long, row_hash long, n_words long, whole_sha256 string, spans array<struct<print:long,digest:long,windows:int,at:array<int>>>")
 
 
-ENTRY = "print long, digest long, row_id long, row_hash long, windows int, at array<int>"
+ENTRY = "print long, digest long, no_id boolean, row_id long, row_hash long, windows int, at array<int>"
+ENTRY_NAMES = ["print", "digest", *KEY, "windows", "at"]
 
 
-def known_repeats(batches):
-    """Sorted entries with ``sure``: whether an entry before it in the task has the same span under a smaller id."""
+def first_of_each(batches):
+    """Sorted entries with ``begins`` (the first of its span) and ``repeat`` (a smaller id has the span); rows without an id are one id, the largest."""
     import pyarrow as pa
 
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        p, d, r = (batch.column(i).to_numpy() for i in range(3))
-        start = np.r_[last is None or (p[0], d[0]) != last[:2], (p[1:] != p[:-1]) | (d[1:] != d[:-1])]
-        begun = np.maximum.accumulate(np.where(start, np.arange(len(p)), -1))
-        first = np.where(begun < 0, last[2] if last else 0, r[np.maximum(begun, 0)])
-        last = (p[-1], d[-1], first[-1])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r > first)], names=[*batch.schema.names, "sure"])
+        columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+        p, d, r = (columns[c].to_numpy(zero_copy_only=False) for c in ("print", "digest", "row_id"))
+        no_id = columns["no_id"].to_numpy(zero_copy_only=False)
+        begins = np.r_[last is None or (p[0], d[0]) != last[:2], (p[1:] != p[:-1]) | (d[1:] != d[:-1])]
+        at = np.maximum.accumulate(np.where(begins, np.arange(len(p)), -1))
+        first_no, first = (np.where(at < 0, last[i] if last else 0, x[np.maximum(at, 0)]) for i, x in ((2, no_id), (3, r)))
+        last = (p[-1], d[-1], first_no[-1], first[-1])
+        repeat = (no_id > first_no) | (no_id == first_no) & (r > first)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(begins), pa.array(repeat)], names=[*batch.schema.names, "begins", "repeat"])
 
 
 class FingerprintIndex:
@@ -165,61 +172,36 @@ class FingerprintIndex:
     def add(self, batch: DataFrame) -> DataFrame:
         """Merge a batch of entries, all of ids no smaller than those before, and append what is new as a run.
 
-        Returns (row_id, row_hash, lo, hi, repeat): with ``repeat``, spans of the batch that a smaller id has; without, first spans, old or new,
-        that share a fingerprint with another one since this batch.
+        Returns (no_id, row_id, row_hash, lo, hi, repeat): with ``repeat``, spans of the batch that a smaller id has; without, spans of first documents, old or new,
+        whose fingerprint has another span as well, one of them new.
         """
-
-        def merge(batches):
-            import pyarrow as pa
-
-            schema = pa.schema([("print", pa.int64()), ("digest", pa.int64()), ("row_id", pa.int64()), ("row_hash", pa.int64()), ("windows", pa.int32()), ("at", pa.list_(pa.int32())), ("kind", pa.int32())])
-            current, digest, first, held, several = None, None, None, [], False
-            for b in batches:
-                rows = []
-                for sure, old, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    p, d, row_id = row[:3]
-                    if sure:
-                        rows.append((*row, 0))
-                        continue
-                    if p != current:
-                        current, digest, held, several = p, None, [], False
-                    if d != digest:
-                        if digest is not None and not several:
-                            several = True
-                            rows += held
-                            held = []
-                        digest, first = d, row_id
-                        if not old:
-                            rows.append((*row, 2))
-                    if row_id > first:
-                        rows.append((*row, 0))
-                    elif several:
-                        rows.append((*row, 1))
-                    else:
-                        held.append((*row, 1))
-                if rows:
-                    columns = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-        names = ["print", "digest", "row_id", "row_hash", "windows", "at"]
-        local = batch.sortWithinPartitions("print", "digest", "row_id").mapInArrow(known_repeats, ENTRY + ", sure boolean")
-        rows = self.entries().select(F.lit(False).alias("sure"), F.lit(True).alias("old"), *names).unionByName(local.select("sure", F.lit(False).alias("old"), *names))
-        dealt = rows.repartition(F.when(F.col("sure"), F.col("row_hash")).otherwise(F.col("print")))
-        order = ["sure", "print", "digest", "row_id", F.col("old").desc(), "row_hash"]
-        merged = staged(dealt.sortWithinPartitions(*order).mapInArrow(tidy(merge), ENTRY + ", kind int"), "index-merge")
-        self.runs.append(merged.where("kind = 2").drop("kind"))
+        local = batch.sortWithinPartitions("print", "digest", "no_id", "row_id").mapInArrow(first_of_each, ENTRY + ", begins boolean, repeat boolean")
+        rows = local.select(*ENTRY_NAMES, F.lit(False).alias("old"), F.col("repeat").alias("sure"))
+        rows = self.entries().select(*ENTRY_NAMES, F.lit(True).alias("old"), F.lit(False).alias("sure")).unionByName(rows)
+        known = rows.where("sure").select(*ENTRY_NAMES, F.lit(False).alias("begins"), F.lit(True).alias("repeat"), "old")
+        dealt = rows.where("not sure").drop("sure").repartition("print", "digest").sortWithinPartitions("print", "digest", "no_id", "row_id", F.col("old").desc(), "row_hash")
+        judged = dealt.mapInArrow(tidy(first_of_each), ENTRY + ", old boolean, begins boolean, repeat boolean").where("not old")
+        merged = staged(judged.select(*known.columns).unionByName(known).drop("old"), "index-merge")
+        new = merged.where("begins").select(*ENTRY_NAMES)
+        firsts = self.entries().select("print", F.lit(0).alias("new")).unionByName(new.select("print", F.lit(1).alias("new")))
+        several = firsts.groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.max("new").alias("new")).where("n > 1 and new = 1").select("print")
+        several = staged(several, "index-shared")
+        own = self.entries().unionByName(merged.where("not repeat").select(*ENTRY_NAMES)).join(several, "print", "left_semi")
+        self.runs.append(new)
+        spans = merged.where("repeat").select(*KEY, "windows", "at", F.lit(True).alias("repeat")).unionByName(own.select(*KEY, "windows", "at", F.lit(False).alias("repeat")))
+        marks = spans.select(*KEY, "windows", F.explode("at").alias("lo"), "repeat")
+        marks = marks.select(*KEY, "lo", (F.col("lo") + F.col("windows") - 1).alias("hi"), "repeat")
         if len(self.runs) > FAN_IN:
             self.compact()
-        marks = merged.where("kind < 2").select("row_id", "row_hash", "windows", F.explode("at").alias("lo"), (F.col("kind") == 0).alias("repeat"))
-        return marks.select("row_id", "row_hash", "lo", (F.col("lo") + F.col("windows") - 1).alias("hi"), "repeat")
+        return marks
 
     def compact(self) -> None:
-        """Rewrite all runs as one, in order."""
+        """Rewrite all runs as one, in order. The old ones stay for whoever reads them still."""
         self.runs = [staged(self.entries().repartitionByRange("print").sortWithinPartitions("print", "digest"), "index-run")]
 
 
 def window_digests(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(row_id, row_hash, at, w1, w2) of the windows of some spans (row_id, row_hash, lo, hi)."""
+    """(no_id, row_id, row_hash, at, w1, w2, sure) of the windows of some spans (no_id, row_id, row_hash, lo, hi). ``sure``: a smaller id of the same batch has the window."""
 
     def work(batches):
         import pyarrow as pa
@@ -227,29 +209,37 @@ def window_digests(docs: DataFrame, spans: DataFrame) -> DataFrame:
         memo = Words()
         for batch in batches:
             parts = []
-            for row_id, row_hash, text, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for no_id, row_id, row_hash, text, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 hashes = memo.of(text.encode().split())
                 at = np.unique(np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in ranges]))
                 w1, w2 = (Rolling(hashes, k).of(at, at + WINDOW).view(np.int64) for k in (2, 3))
-                parts.append((np.full(len(at), row_id, np.int64), np.full(len(at), row_hash, np.int64), at, w1, w2))
+                parts.append((np.full(len(at), no_id), np.full(len(at), row_id, np.int64), np.full(len(at), row_hash, np.int64), at, w1, w2))
             if parts:
                 columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()], strict=True)], names=["row_id", "row_hash", "at", "w1", "w2"])
+                no_id, row_id, _, _, w1, w2 = columns
+                order = np.lexsort((row_id, no_id, w2, w1))
+                a, b, n, r = w1[order], w2[order], no_id[order], row_id[order]
+                begins = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+                lead = np.repeat(begins, np.diff(np.r_[begins, len(a)]))
+                sure = np.empty(len(a), bool)
+                sure[order] = (n > n[lead]) | (n == n[lead]) & (r > r[lead])
+                columns.append(sure)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()], strict=True)], names=[*KEY, "at", "w1", "w2", "sure"])
 
-    ranges = spans.groupBy("row_id", "row_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    joined = row_key(docs).select("row_id", "row_hash", "text").join(ranges, ["row_id", "row_hash"])
-    return joined.select("row_id", "row_hash", "text", "ranges").mapInArrow(tidy(work), "row_id long, row_hash long, at int, w1 long, w2 long")
+    ranges = spans.groupBy(*KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    joined = row_key(docs).join(ranges, KEY)
+    return joined.select(*KEY, "text", "ranges").mapInArrow(tidy(work), "no_id boolean, row_id long, row_hash long, at int, w1 long, w2 long, sure boolean")
 
 
 def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(row_id, row_hash, text, n_removed, kept_sha256): texts without the words in ``spans`` (row_id, row_hash, lo, hi), joined by one space."""
+    """(no_id, row_id, row_hash, text, n_removed, kept_sha256): texts without the words in ``spans`` (no_id, row_id, row_hash, lo, hi), joined by one space."""
 
     def work(batches):
         import pyarrow as pa
 
         for batch in batches:
             texts, removed, shas = [], [], []
-            for text, ranges in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for text, ranges in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 words = text.encode().split()
                 edge = np.zeros(len(words) + 1, np.int64)
                 np.add.at(edge, [r["lo"] for r in ranges], 1)
@@ -259,37 +249,41 @@ def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 texts.append(kept.decode())
                 removed.append(int(gone.sum()))
                 shas.append(hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(removed, pa.int64()), pa.array(shas)], names=["row_id", "row_hash", "text", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string()), pa.array(removed, pa.int64()), pa.array(shas)], names=[*KEY, "text", "n_removed", "kept_sha256"])
 
-    ranges = spans.groupBy("row_id", "row_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    joined = row_key(docs).select("row_id", "row_hash", "text").join(ranges, ["row_id", "row_hash"])
-    return joined.select("row_id", "row_hash", "text", "ranges").mapInArrow(tidy(work), "row_id long, row_hash long, text string, n_removed long, kept_sha256 string")
+    ranges = spans.groupBy(*KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    joined = row_key(docs).join(ranges, KEY)
+    return joined.select(*KEY, "text", "ranges").mapInArrow(tidy(work), "no_id boolean, row_id long, row_hash long, text string, n_removed long, kept_sha256 string")
 
 
-def repeats(docs: DataFrame, batches: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(documents, spans): the table of :func:`fingerprints`, and (row_id, row_hash, lo, hi) of all runs of windows that a smaller id has."""
+def repeats(docs: DataFrame, batches: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(documents, spans): the table of :func:`fingerprints`, and (no_id, row_id, row_hash, lo, hi) of all runs of windows that a smaller id has."""
     table = staged(fingerprints(docs), "fingerprints")
     index = FingerprintIndex(docs.sparkSession)
-    places = table.approxQuantile("row_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
-    edges = sorted({min(int(x), LAST_ID - 1) for x in places})
+    with_id = table.where("not no_id")
+    places = with_id.approxQuantile("row_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
+    edges = sorted({int(x) for x in places})
     marks = None
     for low, high in zip([None, *edges], [*edges, None], strict=True):
-        part = table if low is None else table.where(F.col("row_id") > low)
-        part = part if high is None else part.where(F.col("row_id") <= high)
-        marked = index.add(part.select("row_id", "row_hash", F.inline("spans")).select("print", "digest", "row_id", "row_hash", "windows", "at"))
+        part = table if low is None else table.where(F.col("no_id") | (F.col("row_id") > low))
+        part = part if high is None else part.where(~F.col("no_id") & (F.col("row_id") <= high))
+        marked = index.add(part.select(*KEY, F.inline("spans")).select(*ENTRY_NAMES))
         marks = marked if marks is None else marks.unionByName(marked)
-    single = window_digests(docs, marks.where("not repeat"))
-    first = F.min("row_id").over(Window.partitionBy("w1", "w2"))
-    later = single.withColumn("first", first).where("row_id > first").select("row_id", "row_hash", F.col("at").alias("lo"), F.col("at").alias("hi"))
+    owner = F.struct("no_id", "row_id")
+    lane = F.when(F.col("sure"), F.xxhash64(*KEY, "at")).otherwise(F.lit(0))
+    first = F.min(owner).over(Window.partitionBy("w1", "w2", "lane"))
+    single = window_digests(docs, marks.where("not repeat")).withColumn("lane", lane).withColumn("first", first)
+    later = single.where(F.col("sure") | (owner > F.col("first"))).select(*KEY, F.col("at").alias("lo"), F.col("at").alias("hi"))
     return table, staged(marks.where("repeat").drop("repeat").unionByName(later), "repeats")
 
 
-def deduplicate(docs: DataFrame, batches: int = 2) -> DataFrame:
+def deduplicate(docs: DataFrame, batches: int = 3) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row."""
     table, spans = repeats(docs, batches)
-    changed = cut(docs, spans).drop("text").dropDuplicates(["row_id", "row_hash"])
-    joined = table.select("row_id", "row_hash", "doc_id", "n_words", "whole_sha256").join(changed, ["row_id", "row_hash"], "left")
-    return joined.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"))
+    changed = cut(docs, spans).drop("text").dropDuplicates(KEY)
+    doc_id = F.when(~F.col("no_id"), F.col("row_id")).alias("doc_id")
+    joined = table.select(*KEY, "n_words", "whole_sha256").join(changed, KEY, "left")
+    return joined.select(doc_id, "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
