@@ -1,12 +1,15 @@
 """Operator 7: media columns and signature sniffing.
 
-:func:`to_wave` stores text losslessly as 8-bit samples of a WAVE file in a binary column. :func:`sniff` looks into any binary column: one
+:func:`store` keeps text losslessly as 8-bit samples of WAVE files in a media column, with the declared type beside it, written as a table to the shared folder
+and read back. :func:`sniff` looks into any binary column: one
 Aho-Corasick automaton finds all magic bytes in one pass, a validator for each format confirms structure and lengths (chunk checksums, block and page
-chains, directory offsets), the declared type is corrected by what starts at offset 0, and complete media inside or behind it are carved.
+chains, directory offsets), the declared type is corrected by what starts at offset 0, and complete media inside or behind it are found. :func:`carve`
+gives their bytes as rows, with the media that lie inside them in turn.
 
 Rows: null text is stored as empty text, null bytes have null results; bytes with no valid medium at offset 0 are
 ``application/octet-stream`` with length null; equal bytes give equal results; an empty table gives no row. Of overlapping
-embedded media the first to start counts. Names of the added columns replace input columns of the same name.
+embedded media the first to start counts. A very long text is one file, held in memory as a whole together with its payload; beyond 4 GB, which the lengths of the format
+cannot say, storing it is an error. Names of the added columns replace input columns of the same name.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.staging import staged
+
 #: Magic bytes of public formats, and how far behind the start of the medium they stand.
 MAGIC = {
     "image/png": (b"\x89PNG\r\n\x1a\n", 0),
@@ -213,8 +218,27 @@ def sniff(df: DataFrame, column: str, declared: str | None = None) -> DataFrame:
     return plain.withColumn("sniffed__", judge(F.col(column), said)).select(*plain.columns, *[F.col(f"sniffed__.{n}") for n in names])
 
 
+def carve(df: DataFrame, column: str, deepest: int = 3) -> DataFrame:
+    """A row for each medium embedded in the bytes of a column of ``df``, and in those carved, up to ``deepest`` levels.
+
+    Keeps the columns of ``df`` but the bytes; adds depth (from 1), offset (in what it was carved from), media and what :func:`sniff` says of them.
+    """
+    level = sniff(df, column).withColumn("depth", F.lit(0))
+    plain = [c for c in df.columns if c not in (column, "media", "depth", "offset")]
+    found = None
+    for depth in range(1, deepest + 1):
+        rows = level.select(*plain, F.col(column if depth == 1 else "media").alias("whole__"), F.explode("embedded").alias("e__"))
+        part = F.substring("whole__", (F.col("e__.offset") + 1).cast("int"), F.col("e__.length").cast("int"))
+        rows = rows.select(*plain, F.lit(depth).alias("depth"), F.col("e__.offset").alias("offset"), part.alias("media"))
+        level = sniff(rows, "media").drop("corrected")
+        found = level if found is None else found.unionByName(level)
+    return found
+
+
 def wave(payload: bytes) -> bytes:
     """A mono WAVE file of 8-bit samples."""
+    if len(payload) > (1 << 32) - 64:
+        raise ValueError("too long for the lengths of a WAVE file")
     pad = b"\0" * (len(payload) & 1)
     body = b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, RATE, RATE, 1, 8) + b"data" + struct.pack("<I", len(payload)) + payload + pad
     return b"RIFF" + struct.pack("<I", len(body)) + body
@@ -259,14 +283,24 @@ def _features(media):
         payload = samples(bytes(b))
         x = np.frombuffer(payload, np.uint8)
         above = x >= 128
-        rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(b), hashlib.sha256(b).hexdigest(), int(x.sum(dtype=np.int64)) // max(1, len(x)), int((above[1:] != above[:-1]).sum()), int(x.max(initial=0))))
+        digests = (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(b), hashlib.sha256(b).hexdigest())
+        shape = (int(x.sum(dtype=np.int64)) // max(1, len(x)), int((above[1:] != above[:-1]).sum()), int(x.max(initial=0)))
+        rows.append((len(payload), *digests, *shape))
     return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "mean", "crossings", "peak"])
 
 
+def store(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` without the text, with n_bytes, media and declared: written to the shared folder, and read back from there."""
+    n_bytes = F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes")
+    plain = [c for c in docs.columns if c not in (text, "n_bytes", "media", "declared")]
+    return staged(docs.select(*plain, n_bytes, to_wave(F.col(text)).alias("media"), F.lit("audio/wav").alias("declared")), "media")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op7_media: every document stored as samples in a media column, sniffed and read back."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    stored = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), to_wave(F.col("text")).alias("media"), F.lit("text/plain").alias("declared"))
+    """op7_media: every document stored as samples in a media column, read back and sniffed."""
+    stored = store(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     seen = sniff(stored, "media", "declared").withColumn("f", wave_features(F.col("media")))
-    feature = F.format_string("%s;length=%d;corrected=%s;embedded=%s;mean=%d;crossings=%d;peak=%d", "media_type", "media_length", F.col("corrected").cast("string"), F.concat_ws(",", F.transform("embedded", lambda e: F.concat_ws(":", e["type"], e["offset"].cast("string"), e["length"].cast("string")))), "f.mean", "f.crossings", "f.peak")
+    embedded = F.transform("embedded", lambda e: F.concat_ws(":", e["type"], e["offset"].cast("string"), e["length"].cast("string")))
+    values = ["media_type", "media_length", F.col("corrected").cast("string"), F.concat_ws(",", embedded), "f.mean", "f.crossings", "f.peak"]
+    feature = F.format_string("%s;length=%d;corrected=%s;embedded=%s;mean=%d;crossings=%d;peak=%d", *values)
     return seen.select("doc_id", "n_bytes", "f.payload_bytes", "f.payload_sha256", "f.tail_crc32", "f.media_bytes", "f.media_sha256", feature.alias("feature"))
