@@ -2,7 +2,8 @@
 
 Labelled outcomes of pages (bad or not) are counted by host. A host's bad rate is shrunk towards its registered domain's, that towards
 its suffix's, that towards the whole table's; the strength of each step is the beta-binomial fit, by moments, of the spread between
-siblings. A page is blocked where the lower bound of its host's posterior rate passes ``most_bad``. Rules come first.
+siblings. A page is blocked where the lower bound of its host's posterior rate passes ``most_bad``: with one half and z of 1.645, where the odds are 19 to 1 that most of its host's
+pages are bad. Rules come first.
 
 Rows: a null URL, or one without ``://``, has an empty host and path and gets the whole table's rate; hosts without labels get their
 domain's, and so on up; repeated URLs are separate rows with equal results; outcomes with a null host or flag are ignored; an empty table
@@ -14,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.staging import staged
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Suffixes of two labels; of all others the suffix is the last label. A parameter of the operator.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.uk", "com.au", "com.br", "gov.uk", "org.uk")
@@ -105,10 +108,10 @@ def strength(children: DataFrame) -> float:
 def reputations(outcomes: DataFrame, z: float = 1.645) -> tuple[DataFrame, DataFrame, DataFrame, tuple[float, float]]:
     """From rows (host, bad): posterior rate and bound by host, by domain and by suffix, and for the rest of the world.
 
-    The one pass over the outcomes sums them by host before the shuffle; what follows works on a row per host.
+    One pass over the outcomes sums them by host before the shuffle into a table in the shared folder; what follows reads that, a row per labelled host.
     """
     hosts = outcomes.where(F.col("host").isNotNull() & F.col("bad").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    hosts = staged(hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}), "host-outcomes")
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums)
