@@ -29,6 +29,8 @@ from spanloom.staging import staged
 
 WINDOW, GRAM = 50, 8
 FAN_IN = 2
+#: Keys that may be broadcast.
+BROADCAST_ROWS = 500_000
 KEY = ["no_id", "row_id", "row_hash"]
 MULTIPLIERS = np.random.default_rng(9).integers(1, 1 << 63, 4, dtype=np.uint64) | np.uint64(1)
 INVERSES = np.array([pow(int(m), -1, 1 << 64) for m in MULTIPLIERS], np.uint64)
@@ -197,7 +199,16 @@ class FingerprintIndex:
 
     def compact(self) -> None:
         """Rewrite all runs as one, in order. The old ones stay for whoever reads them still."""
-        self.runs = [staged(self.entries().repartitionByRange("print").sortWithinPartitions("print", "digest"), "index-run")]
+        self.runs = [staged(self.entries().repartitionByRange("print", "digest").sortWithinPartitions("print", "digest"), "index-run")]
+
+
+def with_ranges(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """(no_id, row_id, row_hash, text, ranges) of the rows that have ``spans``. Where those are at most ``BROADCAST_ROWS``, as counted, the other texts are not shuffled."""
+    ranges = staged(spans.groupBy(*KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "ranges")
+    rows = row_key(docs)
+    if ranges.count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(ranges.select(*KEY)), KEY, "left_semi")
+    return rows.join(ranges, KEY).select(*KEY, "text", "ranges")
 
 
 def window_digests(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -226,9 +237,7 @@ def window_digests(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 columns.append(sure)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()], strict=True)], names=[*KEY, "at", "w1", "w2", "sure"])
 
-    ranges = spans.groupBy(*KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    joined = row_key(docs).join(ranges, KEY)
-    return joined.select(*KEY, "text", "ranges").mapInArrow(tidy(work), "no_id boolean, row_id long, row_hash long, at int, w1 long, w2 long, sure boolean")
+    return with_ranges(docs, spans).mapInArrow(tidy(work), "no_id boolean, row_id long, row_hash long, at int, w1 long, w2 long, sure boolean")
 
 
 def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -251,9 +260,7 @@ def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 shas.append(hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string()), pa.array(removed, pa.int64()), pa.array(shas)], names=[*KEY, "text", "n_removed", "kept_sha256"])
 
-    ranges = spans.groupBy(*KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    joined = row_key(docs).join(ranges, KEY)
-    return joined.select(*KEY, "text", "ranges").mapInArrow(tidy(work), "no_id boolean, row_id long, row_hash long, text string, n_removed long, kept_sha256 string")
+    return with_ranges(docs, spans).mapInArrow(tidy(work), "no_id boolean, row_id long, row_hash long, text string, n_removed long, kept_sha256 string")
 
 
 def repeats(docs: DataFrame, batches: int = 3) -> tuple[DataFrame, DataFrame]:
