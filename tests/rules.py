@@ -86,7 +86,7 @@ def legacy(chunks):
     for start, _, segs in chunks:
         for s, e, t in segs:
             a, b = start + s, start + e
-            if a < last and any(abs(a - x) < 1 and abs(b - y) < 1 and jaccard(t, u) >= 0.7 for x, y, u in kept[-10:]):
+            if a < last and any(abs(a - x) < 1 and abs(b - y) < 1 and jaccard(u, t) >= 0.7 for x, y, u in kept[-10:]):
                 continue
             kept.append((a, b, t))
             last = max(last, b)
