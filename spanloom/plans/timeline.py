@@ -36,18 +36,31 @@ def within_limit(files: DataFrame, max_hours: int = 24) -> DataFrame:
     return files.withColumn("duration_s", F.when(hours > max_hours, error.cast("long")).otherwise(F.col("duration_s")))
 
 
-def slice_by_chunks(segments: DataFrame, chunks: DataFrame, width_s: float = CHUNK_S) -> DataFrame:
-    """Segments that start inside each chunk, in times from the chunk's start.
+def sliced(segments: DataFrame, chunks: DataFrame, width_s: float = CHUNK_S) -> DataFrame:
+    """Chunk rows (file_id, chunk_index, start_time, end_time, seg_idx, start_s, end_s, text): the segments that start inside each chunk, in times from the chunk's start,
+    and rows without a segment (seg_idx null) that show a chunk where it has none.
 
     An interval join as an equi-join on (file, time bin): each chunk is listed under the bins that it touches, each segment has one bin, so a long
     file costs its segments times their overlap and not segments times chunks.
     """
     bins = F.sequence(F.floor(F.col("start_time") / width_s), F.floor(F.col("end_time") / width_s))
-    c = chunks.select("file_id", "chunk_index", "start_time", "end_time", F.explode(bins).alias("bin"))
-    s = segments.withColumn("bin", F.floor(F.col("start_s") / width_s))
-    inside = (F.col("start_s") >= F.col("start_time")) & (F.col("start_s") < F.col("end_time"))
-    rebased = [(F.col(x) - F.col("start_time")).alias(x) for x in ("start_s", "end_s")]
-    return s.join(c, ["file_id", "bin"]).where(inside).select("file_id", "chunk_index", "seg_idx", *rebased, "text")
+    c = chunks.select("file_id", "chunk_index", "start_time", "end_time", F.explode(bins).alias("bin")).alias("c")
+    s = segments.withColumn("bin", F.floor(F.col("start_s") / width_s)).alias("s")
+    inside = (F.col("s.start_s") >= F.col("c.start_time")) & (F.col("s.start_s") < F.col("c.end_time"))
+    joined = c.join(s, (F.col("c.file_id") == F.col("s.file_id")) & (F.col("c.bin") == F.col("s.bin")) & inside, "left")
+    rebased = [(F.col(f"s.{x}") - F.col("c.start_time")).alias(x) for x in ("start_s", "end_s")]
+    return joined.select("c.file_id", "c.chunk_index", "c.start_time", "c.end_time", "s.seg_idx", *rebased, "s.text")
+
+
+def chunk_rows(chunk_segments: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Chunk rows, as of :func:`sliced`, from a table of chunk segments and one of chunks."""
+    keys = ["file_id", "chunk_index"]
+    return chunks.select(*keys, "start_time", "end_time").join(chunk_segments, keys, "left").select(*keys, "start_time", "end_time", "seg_idx", "start_s", "end_s", "text")
+
+
+def slice_by_chunks(segments: DataFrame, chunks: DataFrame, width_s: float = CHUNK_S) -> DataFrame:
+    """Segments that start inside each chunk, in times from the chunk's start."""
+    return sliced(segments, chunks, width_s).where(F.col("seg_idx").isNotNull()).select("file_id", "chunk_index", "seg_idx", "start_s", "end_s", "text")
 
 
 def renumbered(chunk_segments: DataFrame) -> DataFrame:
