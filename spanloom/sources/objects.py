@@ -7,17 +7,37 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.shared_fs import open_fs
+
 RESPONSE = "struct<segments:array<struct<start:double,end:double,text:string>>,language:string>"
 TRANSCRIPT = "file_id long, chunk_index long, seg_idx long, start_s double, end_s double, text string"
 
 
 def heads(spark: SparkSession, path: str) -> DataFrame:
     """(path, length) of objects, without reading them."""
-    return spark.read.format("binaryFile").load(path).select("path", "length")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
 
 
 def contents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+
+def ranges(wanted: DataFrame) -> DataFrame:
+    """(path, first, content) of byte ranges (path, first, last), both ends included, from 0: only those bytes are read. A range that starts behind the end is empty."""
+
+    def work(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = []
+            for path, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                fs, at = open_fs(path)
+                with fs.open_input_file(at) as f:
+                    found.append(f.read_at(max(0, min(last + 1, f.size()) - first), min(first, f.size())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["path", "first", "content"])
+
+    plain = wanted.select("path", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
+    return plain.mapInArrow(work, "path string, first long, content binary")
 
 
 def byte_range(content: Column, first: int, last: int) -> Column:
@@ -25,6 +45,14 @@ def byte_range(content: Column, first: int, last: int) -> Column:
     return F.substring(content, first + 1, last - first + 1)
 
 
+def responses(chunk_segments: DataFrame, languages: DataFrame | None = None) -> DataFrame:
+    """Chunk segments as recogniser responses (file_id, chunk_index, body): what :func:`parsed` reads. ``languages``: (file_id, language)."""
+    segment = F.struct("seg_idx", F.struct(F.col("start_s").alias("start"), F.col("end_s").alias("end"), "text").alias("s"))
+    listed = chunk_segments.groupBy("file_id", "chunk_index").agg(F.transform(F.array_sort(F.collect_list(segment)), lambda x: x["s"]).alias("segments"))
+    rows = listed.join(languages, "file_id", "left") if languages is not None else listed.withColumn("language", F.lit("en"))
+    return rows.select("file_id", "chunk_index", F.to_json(F.struct("segments", "language")).alias("body"))
+
+
 def parsed(bodies: DataFrame, column: str = "body") -> DataFrame:
     """Recogniser responses (file_id, chunk_index, JSON body) as segments."""
     rows = bodies.select("file_id", "chunk_index", F.from_json(column, RESPONSE).alias("r"))

@@ -59,3 +59,34 @@ def job_event(status: Column, error: Column | None = None) -> list[Column]:
 def job_status(log: DataFrame) -> DataFrame:
     """The latest event of each job, by (ts, seq)."""
     return latest(log, "job_id", [F.col("ts").desc(), F.col("seq").desc()])
+
+
+def after_deletes(log: DataFrame, deletes: DataFrame) -> DataFrame:
+    """The latest event of each job that no delete (job_id, ts, seq) at or after it has removed; a job that is saved again is there again."""
+    gone = deletes.groupBy("job_id").agg(F.max(F.struct("ts", "seq")).alias("gone__"))
+    rows = job_status(log).join(gone, "job_id", "left")
+    return rows.where(F.col("gone__").isNull() | (F.struct("ts", "seq") > F.col("gone__"))).drop("gone__")
+
+
+def cache_stats(versions: DataFrame, key: str, at: str, now: Column, access_log: DataFrame, ttl_s: int = CACHE_TTL_S) -> DataFrame:
+    """One row (size, hits, reads, evictions, stats): live keys, reads that met one (``hit``), and keys whose last version has expired."""
+    last = latest(versions, key, [F.col(at).desc()])
+    is_live = F.col(at) > now - F.make_dt_interval(secs=F.lit(ttl_s).cast("decimal(18,6)"))
+    sizes = last.agg(F.count_if(is_live).alias("size"), F.count_if(~is_live).alias("evictions"))
+    reads = access_log.agg(F.count_if("hit").alias("hits"), F.count(F.lit(1)).alias("reads"))
+    rate = F.when(F.col("reads") > 0, F.col("hits") / F.col("reads")).otherwise(F.lit(1.0)) * 100
+    return sizes.crossJoin(reads).select("size", "hits", "reads", "evictions", F.format_string("ChunkCache[size=%d, hitRate=%.2f%%, evictions=%d]", "size", rate, "evictions").alias("stats"))
+
+
+def chunk_states(wanted: DataFrame, cache: DataFrame, failed: DataFrame) -> DataFrame:
+    """``wanted`` chunks with ``state``: DONE if the cache has them, else FAILED if a failure is on record, else PENDING. What isn't DONE is what a resumed run has to do."""
+    known = cache.select("cache_key").distinct().withColumn("done__", F.lit(True))
+    broken = failed.select("cache_key").distinct().withColumn("failed__", F.lit(True))
+    rows = wanted.join(known, "cache_key", "left").join(broken, "cache_key", "left")
+    return rows.withColumn("state", F.when(F.col("done__"), "DONE").when(F.col("failed__"), "FAILED").otherwise("PENDING")).drop("done__", "failed__")
+
+
+def partial_results(states: DataFrame) -> DataFrame:
+    """(file_id, total, done, failed, complete) of each file."""
+    counts = [F.count(F.lit(1)).alias("total"), F.count_if(F.col("state") == "DONE").alias("done"), F.count_if(F.col("state") == "FAILED").alias("failed")]
+    return states.groupBy("file_id").agg(*counts).withColumn("complete", F.col("done") == F.col("total"))
