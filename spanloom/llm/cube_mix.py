@@ -36,7 +36,7 @@ from spanloom.staging import staged
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Rows of a chunk about, open units of a flight at most, and chunks whose open units meet in a chunk of the next level.
-CHUNK_ROWS, WINDOW, FAN = 4096, 32, 2048
+CHUNK_ROWS, WINDOW, FAN = 4096, 512, 2048
 
 
 def word_count(text: Column) -> Column:
@@ -105,9 +105,8 @@ class Flight:
         at = np.flatnonzero(moves)[(room_up if is_up else room_down).argmin()]
         self.p[at] = round(self.p[at])
         settled = (self.p < 1e-9) | (self.p > 1 - 1e-9)
-        done = [(self.tags[i], int(self.p[i] > 0.5)) for i in np.flatnonzero(settled)]
+        done = [(self.tags.pop(i), int(self.p[i] > 0.5)) for i in np.flatnonzero(settled)[::-1].tolist()]
         self.p, self.size = self.p[~settled], self.size[~settled]
-        self.tags = [t for t, gone in zip(self.tags, settled.tolist(), strict=True) if not gone]
         return done
 
     def step(self) -> list[tuple]:
