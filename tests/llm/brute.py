@@ -139,3 +139,50 @@ def mix_targets(sizes):
 
 def crc(text):
     return zlib.crc32(text.encode())
+
+
+def segmentations(word, pieces):
+    """All ways to cut a marked word into pieces or single letters that no piece has."""
+    if not word:
+        yield []
+        return
+    for j in range(1, len(word) + 1):
+        if word[:j] in pieces or j == 1:
+            for rest in segmentations(word[j:], pieces):
+                yield [word[:j], *rest]
+
+
+def products(word, p, floor):
+    for cut in segmentations(word, p):
+        x = 1.0
+        for piece in cut:
+            x *= p.get(piece, floor)
+        yield x
+
+
+def unigrams(counts, pieces, rounds, all_words, floor):
+    """Piece probabilities of one language by expectation maximisation, starting from all places where a piece fits; ``all_words``: those of all languages."""
+
+    def normalised(c):
+        seen = {x for x in pieces if c.get(x, 0) > 0}
+        smooth = {x: c.get(x, 0) + 0.05 * (x in seen or x in fits) for x in pieces}
+        total = sum(smooth.values())
+        return {x: max(smooth[x] / total, floor) for x in pieces}
+
+    fits = {x for w in all_words for x in pieces if x in "▁" + w}
+    start = {}
+    for w, n in counts.items():
+        for x in pieces:
+            start[x] = start.get(x, 0) + n * sum(("▁" + w)[i : i + len(x)] == x for i in range(len(w) + 1))
+    p = normalised(start)
+    for _ in range(rounds):
+        expected = dict.fromkeys(pieces, 0.0)
+        for w, n in counts.items():
+            cuts = list(segmentations("▁" + w, set(pieces)))
+            weights = list(products("▁" + w, p, floor))
+            for cut, x in zip(cuts, weights):
+                for piece in cut:
+                    if piece in expected:
+                        expected[piece] += n * x / sum(weights)
+        p = normalised(expected)
+    return p
