@@ -222,111 +222,131 @@ class SSTable:
         return found
 
 
-class Recent(dict):
-    """A dict of bounded size: what was not asked for since the last half of the entries came in is forgotten."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.half, self.old = max(1, most // 2), {}
-
-    def recall(self, key):
-        found = self.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self[key] = found
-        return found
-
-    def tidy(self) -> None:
-        if len(self) >= self.half:
-            self.old = dict(self)
-            self.clear()
-
-
 class UnitEncoder:
     """Ids of whole texts through the tokenizers library.
 
     The usual splitting rule of byte-level tokenizers starts a new piece at each space that follows a non-space, so texts cut there encode
-    part by part. The parts of a batch are numbered by Arrow, each distinct one is encoded once, and recent ones are remembered. A part of plain
-    Latin letters, digits and signs is cut again where letters begin or end and at single line ends, which are borders under that rule as well.
-    Texts with white space before a space, where the rule looks ahead, with a 0 character, which marks first parts here, or with the string of an added
+    part by part. Units of plain Latin letters, digits and signs are cut again where letters begin or end and at single line ends, which are borders under
+    that rule as well. Arrow cuts and numbers the parts of a batch; each distinct one is encoded once, and up to ``most`` are remembered, as two Arrow arrays. Parts
+    without inner white space go to the tokenizer ``TOGETHER`` at a time with line ends between them, which are pieces of their own there.
+    Texts with white space before a space, where the rule looks ahead, with the characters 0 and 1, which mark first units and cuts here, or with the string of an added
     token, and texts for other tokenizers are encoded whole.
     """
 
     LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+    SPACE = r"\s\x0b\x{85}\p{Z}\x1c-\x1f\x{180e}"
+    TOGETHER = 64
 
-    def __init__(self, definition: str, most: int = 600_000):
+    def __init__(self, definition: str, most: int = 300_000):
+        import pyarrow as pa
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         parts = json.loads(definition)
-        added = [re.escape(t["content"]) for t in parts.get("added_tokens") or []]
-        self.odd = "|".join([r"[\s\x0b\x{85}\p{Z}\x1c-\x1f] ", r"\x00", *added])
+        added = [t["content"] for t in parts.get("added_tokens") or []]
+        self.odd = "|".join([rf"[{self.SPACE}] ", r"[\x00\x01]", *map(re.escape, added)])
         pre = parts.get("pre_tokenizer") or {}
         self.by_unit = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not parts.get("normalizer")
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.units, self.parts = Recent(most), Recent(most)
-        self.plain = re.compile(rf"[!-&(-~{self.LETTER[6:]}]+(?:\n[!-&(-~{self.LETTER[6:]}]+)*").fullmatch
-        self.cut = re.compile(rf"[{self.LETTER}]+|[^{self.LETTER}\n]+|\n").findall
+        line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_end = line_end[0] if len(line_end) == 1 and not any("\n" in t for t in added) else None
+        self.most, self.known, self.known_ids = most, pa.array([], pa.string()), pa.array([], pa.binary())
+        plain = f"!-&(-~{self.LETTER[6:]}"
+        self.plain = rf"^[{plain}]+(\n[{plain}]+)*$"
+        self.cuts = [(rf"([{self.LETTER}])([^{self.LETTER}])", "\\1\x01\\2"), (rf"([^{self.LETTER} \x01])([{self.LETTER}])", "\\1\x01\\2"), (r"([^\x01])\n", "\\1\x01\n"), (r"\n([^\x01])", "\n\x01\\1")]
+        self.solid = rf"^ ?[^{self.SPACE}]+$"
 
     def whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, units: list[str]) -> list[bytes]:
-        """Ids of units; the first unit of a text is marked by a leading 0 character, others lack their leading space."""
-        cut = []
-        for u in units:
-            first, body = u[:1] == "\0", u[1:] if u[:1] == "\0" else u
-            if self.plain(body):
-                parts = self.cut(body)
-                if not first:
-                    parts[0] = " " + parts[0]
-            else:
-                parts = [body if first else " " + body] if body or not first else []
-            cut.append(parts)
-        here = dict.fromkeys(p for parts in cut for p in parts)
-        new = []
-        for p in here:
-            if (known := self.parts.recall(p)) is None:
-                new.append(p)
-            else:
-                here[p] = known
-        learned = dict(zip(new, self.whole(new), strict=True))
-        here.update(learned)
-        self.parts.update(learned)
-        self.parts.tidy()
-        return [here[parts[0]] if len(parts) == 1 else b"".join([here[p] for p in parts]) for parts in cut]
+    def together(self, parts):
+        """Ids of distinct parts without inner white space, as a binary array."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        n = len(parts)
+        if self.line_end is None or not n:
+            return pa.array(self.whole(parts.to_pylist()), pa.binary())
+        starts = np.append(np.arange(0, n, self.TOGETHER, dtype=np.int32), np.int32(n))
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts), parts), "\n").to_pylist()
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.concatenate([np.array([*x, self.line_end], self.dtype) for x in lists])
+        ends = np.flatnonzero(ids == self.line_end)
+        if len(ends) != n:
+            raise ValueError("a part holds a line end")
+        kept = np.delete(ids, ends)
+        offsets = np.zeros(n + 1, np.int32)
+        offsets[1:] = (ends - np.arange(n)) * ids.itemsize
+        return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
+
+    def learn(self, parts):
+        """Ids of distinct parts, as (binary array, where in it each part's ids are)."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        at = pc.index_in(parts, value_set=self.known)
+        new = parts.filter(pc.is_null(at))
+        solid = pc.match_substring_regex(new, self.solid)
+        rest = new.filter(pc.invert(solid))
+        new = pa.concat_arrays([new.filter(solid), rest])
+        pool = pa.concat_arrays([self.known_ids, self.together(new[: len(new) - len(rest)]), pa.array(self.whole(rest.to_pylist()), pa.binary())])
+        names = pa.concat_arrays([self.known, new])
+        place = pc.if_else(pc.is_null(at), pc.add(pc.index_in(parts, value_set=new), len(self.known)), at)
+        if len(names) > self.most:
+            used = pa.array(np.sort(place.to_numpy())[: self.most])
+            self.known, self.known_ids = names.take(used), pool.take(used)
+        else:
+            self.known, self.known_ids = names, pool
+        return pool, place
+
+    @staticmethod
+    def lots(batch, rows: int = 4096, most_bytes: int = 1 << 24):
+        """Slices of a batch whose second column, of texts, has at most ``most_bytes`` in ``rows`` rows; a longer text is one by itself."""
+        import numpy as np
+
+        ends, i = UnitEncoder.offsets(batch.column(1)), 0
+        while i < batch.num_rows:
+            j = int(np.searchsorted(ends, int(ends[i]) + most_bytes, "right")) - 1
+            j = min(max(j, i + 1), i + rows, batch.num_rows)
+            yield batch.slice(i, j - i)
+            i = j
+
+    @staticmethod
+    def offsets(x):
+        import numpy as np
+
+        return np.frombuffer(x.buffers()[1], np.int32, len(x) + 1, x.offset * 4)
 
     def encode(self, texts) -> list[bytes]:
         """Ids of a string array's texts, as bytes."""
-        import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
         if not self.by_unit:
             return self.whole(texts.to_pylist())
-        out: list[bytes] = []
         is_odd = pc.match_substring_regex(texts, self.odd)
-        odd = is_odd.to_pylist()
-        marked = pc.binary_join_element_wise(pa.scalar("\0"), pc.if_else(is_odd, "", texts), pa.scalar(""))
+        marked = pc.binary_join_element_wise("\0", pc.if_else(is_odd, "", texts), "")
         pieces = pc.split_pattern(marked, " ")
         coded = pc.list_flatten(pieces).dictionary_encode()
-        units = coded.dictionary.to_pylist()
-        recent, old = self.units.get, self.units.old.get
-        ids = [recent(u) or old(u) for u in units]
-        missing = [i for i, x in enumerate(ids) if x is None]
-        self.units.update({u: x for u, x in zip(units, ids, strict=True) if x is not None} if self.units.old else {})
-        for i, x in zip(missing, self.learn([units[i] for i in missing]), strict=True):
-            ids[i] = x
-            self.units[units[i]] = x
-        self.units.tidy()
-        taken = pa.array(ids, pa.binary()).take(coded.indices)
-        ends = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1, taken.offset * 4)
-        data = taken.buffers()[2].to_pybytes() if taken.buffers()[2] else b""
-        bounds = ends[np.frombuffer(pieces.buffers()[1], np.int32, len(pieces) + 1, pieces.offset * 4)]
-        for i, is_odd in enumerate(odd):
-            out.append(self.whole([texts[i].as_py()])[0] if is_odd else data[bounds[i] : bounds[i + 1]])
-        return out
+        first = pc.starts_with(coded.dictionary, "\0")
+        body = pc.if_else(first, pc.utf8_slice_codeunits(coded.dictionary, 1), coded.dictionary)
+        units = cut = pc.binary_join_element_wise(pc.if_else(first, "", " "), body, "")
+        for border, by in self.cuts:
+            cut = pc.replace_substring_regex(cut, border, by)
+        parts = pc.split_pattern(pc.if_else(pc.match_substring_regex(body, self.plain), cut, units), "\x01")
+        distinct = pc.list_flatten(parts).dictionary_encode()
+        pool, place = self.learn(distinct.dictionary)
+        of_parts = pool.take(place.take(distinct.indices))
+        bounds = self.offsets(of_parts)[self.offsets(parts)]
+        of_units = pa.Array.from_buffers(pa.binary(), len(units), [None, pa.py_buffer(bounds), of_parts.buffers()[2]])
+        taken = of_units.take(coded.indices)
+        data = memoryview(taken.buffers()[2] or b"")
+        bounds = self.offsets(taken)[self.offsets(pieces)].tolist()
+        return [self.whole([texts[i].as_py()])[0] if odd else bytes(data[bounds[i] : bounds[i + 1]]) for i, odd in enumerate(is_odd.to_pylist())]
 
 
 _KEPT: dict[str, UnitEncoder] = {}
@@ -369,8 +389,7 @@ def write_sstables(docs: DataFrame, folder: str, tokenizer_json: str, end_id: in
                 continue
             encoder = kept_encoder(definition.value)
             end = end_id.to_bytes(2 if encoder.dtype == "<u2" else 4, "little")
-            for i in range(0, batch.num_rows, 4096):
-                part = batch.slice(i, 4096)
+            for part in encoder.lots(batch):
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
                     if writer is not None and writer.at >= shard_bytes:
                         yield entry()

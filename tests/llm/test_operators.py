@@ -90,6 +90,35 @@ def test_unit_encoder_equals_the_tokenizer():
         assert e.encode(pa.array(texts)) == e.whole(texts)
 
 
+def test_unit_encoder_hands_over_many_parts_at_once_and_remembers_little():
+    definition = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    e = sstable.UnitEncoder(definition, most=3000)
+    rng, handed = random.Random(4), []
+    whole, tokenizer = sstable.UnitEncoder(definition).whole, e.tokenizer
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            handed.append(len(texts))
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    e.tokenizer = Counting()
+    for _ in range(3):
+        texts = [" ".join("".join(rng.choice("abcdeé") for _ in range(9)) + rng.choice([".", "", "\x01"]) for _ in range(400)) for _ in range(9)] + ["plain words, of\nlines."]
+        assert e.encode(pa.array(texts[-1:] + [t.replace("\x01", "") for t in texts])) == whole(texts[-1:] + [t.replace("\x01", "") for t in texts])
+        assert e.encode(pa.array(texts)) == whole(texts)
+        assert len(e.known) <= 3000 and e.known.get_total_buffer_size() + e.known_ids.get_total_buffer_size() < 300_000
+    assert sum(handed) < 0.05 * 3 * 9 * 400
+
+
+def test_lots_of_an_encoder_are_bounded_in_bytes():
+    texts = ["x" * n for n in (0, 5, 40, 3, 3, 3, 0, 100, 1, 0)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(10)), "text": texts})
+    for part in (batch, batch.slice(1)):
+        lots = list(sstable.UnitEncoder.lots(part, 4, 10))
+        assert [t for x in lots for t in x.column(1).to_pylist()] == part.column(1).to_pylist()
+        assert all(x.num_rows <= 4 and (x.num_rows == 1 or sum(map(len, x.column(1).to_pylist())) <= 10) for x in lots)
+
+
 # 2, 4
 
 
