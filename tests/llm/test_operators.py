@@ -414,6 +414,41 @@ def test_near_classes_of_edges(spark):
     assert near_dups.classes(frame(spark, []).limit(0)).count() == 0
 
 
+def test_large_buckets_of_unlike_copies_lose_no_link_and_need_few_comparisons(spark, monkeypatch):
+    """One original in copies with a few or many edits, and copies of some copies with edits of their own."""
+    rng = random.Random(11)
+    base = [rng.choice("abcdefgh") + str(rng.randint(0, 400)) for _ in range(150)]
+
+    def edited(words, n):
+        words = list(words)
+        for _ in range(n):
+            i = rng.randrange(len(words))
+            words[i : i + 1] = rng.choice([[], [f"z{rng.randint(0, 30)}"], [words[i], "new"]])
+        return words
+
+    copies = [edited(base, rng.choice([1, 3, 4, 5, 6])) for _ in range(180)]
+    copies += [edited(c, rng.choice([1, 2, 4])) for c in copies[:40]] + [base[: rng.randint(90, 150)] for _ in range(20)]
+    texts = list(dict.fromkeys(" ".join(c) for c in [base, *copies]))
+    memo, compared, verify = near_dups.WordHashes(), [], near_dups.verify
+    monkeypatch.setattr(near_dups, "SMALL", 24)
+    monkeypatch.setattr(near_dups, "verify", lambda pairs, bodies, least: (compared.append(pairs.count()), verify(pairs, bodies, least))[1])
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.classes(frame(spark, list(enumerate(texts)))).collect()}
+    words = [memo.of(t) for t in texts]
+    labels = [near_dups.labelled(near_dups.kmers(w)) for w in words]
+    keys, ordered = [set(near_dups.order_sketch(h)) for h in labels], [np.sort(h) for h in labels]
+    bucketed = similar = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if keys[i] & keys[j]:
+                bucketed += 1
+                if near_dups.compare(words[i], words[j], ordered[i], ordered[j], 0.8)[0]:
+                    similar += 1
+                    assert got[i] == got[j], (i, j)
+    assert similar > 300 and len(set(got.values())) > 50
+    assert sum(compared) < bucketed / 3, (compared, bucketed)
+
+
+
 def test_copies_of_one_text_and_a_chain(spark):
     rng = random.Random(5)
     base = prose(rng, 220).split()
