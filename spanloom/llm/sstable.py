@@ -304,7 +304,7 @@ class UnitEncoder:
         return pool, place
 
     @staticmethod
-    def lots(batch, rows: int = 4096, most_bytes: int = 1 << 24):
+    def lots(batch, rows: int = 1024, most_bytes: int = 1 << 22):
         """Slices of a batch whose second column, of texts, has at most ``most_bytes`` in ``rows`` rows; a longer text is one by itself."""
         import numpy as np
 

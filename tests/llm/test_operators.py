@@ -110,6 +110,12 @@ def test_unit_encoder_hands_over_many_parts_at_once_and_remembers_little():
     assert sum(handed) < 0.05 * 3 * 9 * 400
 
 
+def test_lots_of_whole_batches_are_of_few_megabytes():
+    part = pa.RecordBatch.from_pydict({"doc_id": list(range(6000)), "text": ["word " * 400] * 6000})
+    lots = list(sstable.UnitEncoder.lots(part))
+    assert sum(x.num_rows for x in lots) == 6000 and all(x.num_rows * 2000 <= 1 << 22 for x in lots)
+
+
 def test_lots_of_an_encoder_are_bounded_in_bytes():
     texts = ["x" * n for n in (0, 5, 40, 3, 3, 3, 0, 100, 1, 0)]
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(10)), "text": texts})
