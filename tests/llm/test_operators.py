@@ -516,6 +516,30 @@ def test_components(spark):
     assert {n: got.get(n, n) for n in root} == {n: top(n) for n in root}
 
 
+def test_components_of_few_links_take_one_task_and_equal_those_by_stars(spark, monkeypatch):
+    rng, names = random.Random(4), []
+    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(40)]
+    links = spark.createDataFrame([(b"%d" % a, b"%d" % b) for a, b in links], "a binary, b binary")
+    stage = components.staged
+    monkeypatch.setattr(components, "staged", lambda df, name: (names.append(name), stage(df, name))[1])
+    few = {bytes(r["node"]): bytes(r["root"]) for r in components.components(links).collect()}
+    assert len(names) == 2 and components.components(links.limit(0)).count() == 0
+    monkeypatch.setattr(components, "ONE_TASK", 0)
+    assert {bytes(r["node"]): bytes(r["root"]) for r in components.components(links).collect()} == few and len(names) > 6
+
+
+def test_classes_are_the_same_with_and_without_broadcasts(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [prose(rng, 60).split() for _ in range(6)]
+    texts = [" ".join(w if rng.random() > 0.03 else f"z{rng.randrange(40)}" for w in rng.choice(base)) for _ in range(120)]
+    docs = frame(spark, list(enumerate(texts)))
+    monkeypatch.setattr(near_dups, "SMALL", 8)
+    few = collected(near_dups.classes(docs).select("doc_id", "class_id"))
+    monkeypatch.setattr(near_dups, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(components, "ONE_TASK", 0)
+    assert collected(near_dups.classes(docs).select("doc_id", "class_id")) == few
+
+
 # 9
 
 
